@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe
+from .embedding_dedup import op1_embedding_dedup
 from .packing import op4_packing
 from .pii import op5_pii
 from .quality_classifier import op2_quality_classifier
@@ -14,5 +15,5 @@ from .quality_rules import op10_quality_rules
 from .simhash import op9_simhash
 from .warc import op7_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op4_packing, op5_pii, op6_bpe, op7_warc, op9_simhash, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_classifier, op4_packing, op5_pii, op6_bpe, op7_warc, op9_simhash, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
