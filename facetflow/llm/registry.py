@@ -13,7 +13,8 @@ from .pii import op5_pii
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op10_quality_rules
 from .simhash import op9_simhash
+from .substring_dedup import op8_substring_dedup
 from .warc import op7_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_classifier, op4_packing, op5_pii, op6_bpe, op7_warc, op9_simhash, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_classifier, op4_packing, op5_pii, op6_bpe, op7_warc, op8_substring_dedup, op9_simhash, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

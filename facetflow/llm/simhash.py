@@ -21,6 +21,7 @@ result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,6 +217,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all of their columns, whose doc_id is the least of its component; rows that repeat both doc_id and text count once. Rows with a null doc_id stay."""
+    mark = f"_{uuid.uuid4().hex}"
+    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns, F.xxhash64("text").alias(mark))
+    return left.dropDuplicates(["doc_id", mark]).select(*docs.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
