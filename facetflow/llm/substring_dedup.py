@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, stash, table
 from .kmers import mix, sliding_min, window_hashes, word_hashes
@@ -171,7 +172,7 @@ def clean(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, filter_bi
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(k) for k, c in enumerate(names)]
             yield pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "_n_words", "_n_removed"])
 
-    schema = docs.schema.add("_n_words", "long").add("_n_removed", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
     return joined.mapInArrow(run, schema)
 
 
