@@ -21,6 +21,7 @@ columns of the input are ignored; very long texts go in slices of rows.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,7 +50,7 @@ def merge_by_rank(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 80_000):
         self.ranks, self.limit = ranks, limit
         self.token = {v: k for k, v in ranks.items()}
         self.child: dict[int, int] = {}  # (node << 8 | byte) -> node
@@ -75,6 +76,7 @@ class Transducer:
         self.moves: list[dict[int, tuple[int, tuple]]] = []
         self.last: list[tuple | None] = []
         self.together.clear()
+        self.steps: dict[tuple, tuple] = {}
         self._state(((-1, 0, ()),))
 
     def _state(self, hypotheses: tuple) -> int:
@@ -114,22 +116,32 @@ class Transducer:
             both = self.together[before << 32 | token] = not any((r := rank(a + b)) is not None and r < ra and r <= rb for a, ra in self.spines[before][2] for b, rb in left)
         return both
 
-    def _move(self, state: int, b: int) -> tuple[int, tuple]:
-        after = []
-        for before, node, rest in self.states[state]:
-            child = self.child.get(node << 8 | b)
-            if child is None:
-                continue
+    def _step(self, before: int, node: int, b: int) -> tuple:
+        """Where one hypothesis leads: (last token, node, token completed or -1), at most twice. Shared by all states that hold it."""
+        child, out = self.child.get(node << 8 | b), ()
+        if child is not None:
             if child in self.inner:
-                after.append((before, child, rest))
+                out = ((before, child, -1),)
             token = self.ends.get(child)
             if token is not None and self._fits(before, token):
-                after.append((token, 0, (*rest, token)))
-        common = 0
-        shortest = min(after, key=lambda h: len(h[2]))[2]
-        while common < len(shortest) and all(h[2][common] == shortest[common] for h in after):
-            common += 1
-        move = self._state(tuple((t, n, r[common:]) for t, n, r in after)), shortest[:common]
+                out += ((token, 0, token),)
+        self.steps[before, node, b] = out
+        return out
+
+    def _move(self, state: int, b: int) -> tuple[int, tuple]:
+        after, steps = [], self.steps
+        for before, node, rest in self.states[state]:
+            step = steps.get((before, node, b))
+            if step is None:
+                step = self._step(before, node, b)
+            for t, n, done in step:
+                after.append((t, n, rest if done < 0 else (*rest, done)))
+        first = after[0][2]
+        common = len(first)
+        for h in after:
+            if common and h[2][:common] != first[:common]:
+                common = next(k for k in range(common) if h[2][k : k + 1] != first[k : k + 1])
+        move = self._state(tuple([(t, n, r[common:]) for t, n, r in after]) if common else tuple(after)), first[:common]
         self.moves[state][b] = move
         return move
 
@@ -242,43 +254,62 @@ class StreamDecoder:
         yield machine.finish()
 
 
-_CODERS: dict[str, tuple[ChunkEncoder, StreamDecoder]] = {}
+_ENCODERS: dict[str, ChunkEncoder] = {}
+_DECODERS: dict[str, StreamDecoder] = {}
+#: Pieces whose ids a worker remembers, beside chunks of up to as many.
+REMEMBERED = 300_000
 
 
-def coder(path: str, pattern: str) -> tuple[ChunkEncoder, StreamDecoder]:
-    """Encoder and decoder of a rank file, kept by a worker from task to task."""
-    if path not in _CODERS:
+def encoder(path: str, pattern: str) -> ChunkEncoder:
+    """The encoder of a rank file, kept by a worker from task to task."""
+    if path not in _ENCODERS:
         import regex
 
-        ranks, pieces = read_ranks(path), regex.compile(pattern).findall
-        machine = Transducer(ranks)
+        pieces, machine = regex.compile(pattern).findall, Transducer(read_ranks(path))
+        memo: dict[str, bytes] = {}
+
+        def of(piece: str) -> bytes:
+            got = memo.get(piece)
+            if got is None:
+                got = array("I", machine.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
+                if len(piece) <= 48:
+                    memo[piece] = got
+            return got
 
         def many(chunks: list[str]) -> list[bytes]:
-            return [np.array([i for p in pieces(x) for i in machine.encode(p.encode("utf-8", "surrogatepass"))], "<u4").tobytes() for x in chunks]
+            if len(memo) > REMEMBERED:
+                memo.clear()
+            return [b"".join(map(of, pieces(x))) for x in chunks]
+
+        _ENCODERS[path] = ChunkEncoder(many, REMEMBERED)
+    return _ENCODERS[path]
+
 
-        _CODERS[path] = ChunkEncoder(many), StreamDecoder(machine.token)
-    return _CODERS[path]
+def decoder(path: str) -> StreamDecoder:
+    if path not in _DECODERS:
+        _DECODERS[path] = StreamDecoder({v: k for k, v in read_ranks(path).items()})
+    return _DECODERS[path]
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids: binary, little-endian unsigned 32-bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = coder(path, pattern)
+        chunks = encoder(path, pattern)
         for batch in slices(batches, "text"):
-            yield pa.record_batch([batch.column("doc_id"), pa.array(encoder(batch.column("text").to_pylist()), pa.binary())], names=["doc_id", "ids"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(chunks(batch.column("text").to_pylist()), pa.binary())], names=["doc_id", "ids"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) -> the same, with n_tokens, decoded (bytes) and well_formed (whether these are UTF-8)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, decoder = coder(path, pattern)
+        decoded = decoder(path)
         for batch in slices(batches, "ids"):
             ids = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
-            data, good = zip(*map(decoder, ids), strict=True)
+            data, good = zip(*map(decoded, ids), strict=True)
             yield pa.record_batch([batch.column("doc_id"), batch.column("ids"), pa.array([len(x) for x in ids], pa.int64()), pa.array(data, pa.binary()), pa.array(good, pa.bool_())], names=["doc_id", "ids", "n_tokens", "decoded", "well_formed"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded binary, well_formed boolean")
@@ -288,5 +319,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = decode(encode(table(spark, sf_dir, "documents"), path, tokenizers.PATTERN), path, tokenizers.PATTERN)
+    decoded = decode(encode(table(spark, sf_dir, "documents"), path, tokenizers.PATTERN), path)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
