@@ -162,6 +162,44 @@ def test_embedding_dedup(spark):
     assert all(got[1000 + k]["n_links"] == 0 and got[1000 + k]["component_id"] == 1000 + k and got[1000 + k]["kept"] for k in range(4))
 
 
+def test_preferences(spark):
+    import duckdb
+
+    from facetflow.llm import preferences
+
+    S, U, A = ("system", "s"), ("user", "u"), ("assistant", "a")
+    talks = {0: [S, U, A], 1: [S, U, ("assistant", "b"), U, A], 2: [U, A], 3: [U, A], 4: [("user", "x"), A], 5: [U, A], 6: [U, A], 9: [(None, None), A], 10: [("", ""), A], 11: [(None, None), ("assistant", "<|im_end|>é😀")], 12: [U], 13: [U, A]}
+    rows = [(c, k, r, t, "clash") for c, turns in talks.items() for k, (r, t) in enumerate(turns)] + [(None, 0, "user", "lost", "clash"), (6, 0, "user", "u", "clash"), (6, None, "user", "first", "clash")]
+    frame = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "conv_id long, turn int, role string, text string, prompt string")
+    show = lambda turns: "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in turns)
+    talks[6] = [("user", "first"), U, U, A]
+    got = {r["pair_id"]: r for r in preferences.format_pairs(preferences.by_neighbours(frame)).collect()}
+    assert sorted(got) == sorted({c // 2 for c in talks})
+    for k, r in got.items():
+        a, b = ([(x or "", y or "") for x, y in talks.get(2 * k + i, [])] for i in (0, 1))
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        assert (r["n_prompt_turns"], r["n_chosen_turns"], r["n_rejected_turns"], r["prompt"]) == (n, len(a) - n, len(b) - n, show(a[:n]))
+        for side, turns in (("chosen", a), ("rejected", b)):
+            if not turns:
+                assert r[side] is None
+                continue
+            assert "".join(s["text"] for s in r[side]) == show(turns[n:])
+            assert [s["text"] for s in r[side] if s["trained"]] == [f"{t}<|im_end|>" for role, t in turns[n:] if role == "assistant"]
+        assert r["usable"] == all(any(role == "assistant" for role, _ in turns[n:]) for turns in (a, b))
+    read = preferences.table
+    try:
+        preferences.table = lambda *_: frame
+        digests = sorted(tuple(r) for r in preferences.op3_preferences(spark, "").collect())
+    finally:
+        preferences.table = read
+    db = duckdb.connect()
+    db.register("conversations", frame.toArrow())
+    assert sorted(db.sql(preferences.SQL).fetchall(), key=lambda r: r[0]) == digests
+    assert preferences.format_pairs(preferences.by_neighbours(frame.limit(0))).collect() == []
+
+
 def test_quality_rules(spark, docs):
     from facetflow.llm.quality_rules import judge, keep, statistics
 
