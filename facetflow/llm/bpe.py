@@ -7,8 +7,10 @@ a hypothesis is (last token, position in the vocabulary's trie, tokens not yet
 emitted). Exactly one hypothesis survives any input. Transducer determinises it
 lazily: a state is a set of hypotheses, transitions are built when first taken,
 and what all hypotheses of a state have in common is emitted at once, which
-bounds the lookahead by the longest token. The tables are rebuilt from nothing
-beyond `limit` states; results never depend on that.
+bounds the lookahead by the longest token. With `limit` states the table is
+full: where a short piece leaves it, the hypotheses are followed one by one to
+the piece's end, as they are, and a longer piece rebuilds the table from
+nothing. Results never depend on that.
 
 Decoding. Utf8Machine takes bytes of tokens as they come and keeps an
 incomplete character until its rest arrives; bytes that are not UTF-8 are
@@ -21,6 +23,7 @@ columns of the input are ignored; very long texts go in slices of rows.
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -50,7 +53,10 @@ def merge_by_rank(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], limit: int = 80_000):
+    #: Bytes of a piece that may be followed without the table.
+    SHORT = 256
+
+    def __init__(self, ranks: dict[bytes, int], limit: int = 50_000):
         self.ranks, self.limit = ranks, limit
         self.token = {v: k for k, v in ranks.items()}
         self.child: dict[int, int] = {}  # (node << 8 | byte) -> node
@@ -66,6 +72,8 @@ class Transducer:
                 node = self.child[key]
             self.ends[node] = rank
         self.inner = {key >> 8 for key in self.child}
+        #: (node << 8 | byte) -> node, or -1 where no token goes on; token that ends there, or -1
+        self.arcs = {key: (node if node in self.inner else -1, self.ends.get(node, -1)) for key, node in self.child.items()}
         self.spines: dict[int, tuple[bool, list, list]] = {}
         self.together: dict[int, bool] = {}
         self._reset()
@@ -149,18 +157,53 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.limit:
+        full = len(self.states) > self.limit
+        if full and len(piece) > self.SHORT:
             self._reset()
+            full = False
         out: list[int] = []
         state, moves = 0, self.moves
-        for b in piece:
-            move = moves[state].get(b) or self._move(state, b)
+        for k, b in enumerate(piece):
+            move = moves[state].get(b)
+            if move is None:
+                if full:
+                    return out + self._follow(state, piece[k:])
+                move = self._move(state, b)
             state = move[0]
             if move[1]:
                 out.extend(move[1])
         out.extend(self.last[state])
         return out
 
+    def _follow(self, state: int, data: bytes) -> list[int]:
+        """What the hypotheses of a state emit on the bytes, without new states."""
+        begun = self.states[state]
+        last, back = [h[0] for h in begun], [-1] * len(begun)  # of each place where a token may start: the token before, and that one's place
+        live = [(h[1], place) for place, h in enumerate(begun)]
+        arcs, together, fits = self.arcs.get, self.together.get, self._fits
+        for b in data:
+            after, ended = [], -1
+            for node, place in live:
+                arc = arcs(node << 8 | b)
+                if arc is not None:
+                    if arc[0] >= 0:
+                        after.append((arc[0], place))
+                    token = arc[1]
+                    if ended < 0 <= token:
+                        before = last[place]
+                        both = together(before << 32 | token) if before >= 0 else None
+                        if fits(before, token) if both is None else both:
+                            ended = place
+                            last.append(token)
+                            back.append(place)
+            after.append((0, len(last) - 1))
+            live = after
+        place, out = len(last) - 1, []
+        while back[place] >= 0:
+            out.append(last[place])
+            place = back[place]
+        return [*begun[place][2], *reversed(out)]
+
 
 #: Classes of a byte for the UTF-8 machine, and the state after a lead byte: bytes to come, with the bounds of the next one.
 def _lead(b: int) -> tuple[int, int, int] | None:
@@ -315,9 +358,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded binary, well_formed boolean")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """encode() and decode() in one worker: (doc_id, text) -> n_tokens and the SHA-256 of the ids and of the decoded bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, decoded = encoder(path, pattern), decoder(path)
+        digest = lambda x: hashlib.sha256(x).hexdigest()
+        for batch in slices(batches, "text"):
+            rows = []
+            for ids in chunks(batch.column("text").to_pylist()):
+                numbers = np.frombuffer(ids, "<u4")
+                rows.append((len(numbers), digest(ids), digest(decoded(numbers)[0])))
+            n, a, b = zip(*rows, strict=True)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return doc_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
-    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = decode(encode(table(spark, sf_dir, "documents"), path, tokenizers.PATTERN), path)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)

@@ -69,6 +69,27 @@ def test_bpe_matches_the_library(docs):
         assert bytes(r["decoded"]).decode() == want[r["doc_id"]] and r["well_formed"]
 
 
+def test_bpe_does_not_depend_on_the_table(spark, docs):
+    import tiktoken
+
+    from facetflow.llm.bpe import Transducer, read_ranks, round_trip
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    pieces = ["".join(rng.choice(["th", "er", "a", "aa", "é", "ß", "ing", "日本", "😀", "1", " ", "--"]) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    pieces += ["a" * 700, "ab" * 400, " " * 300, *(a + b for a in "aé日" for b in "bß本")]
+    for machine in (Transducer(ranks, 0), Transducer(ranks, 300), Transducer(ranks)):
+        assert all(machine.encode(p.encode()) == library.encode_ordinary(p) for p in pieces)
+    want = texts(docs)
+    whole = tiktoken.Encoding("own2", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in round_trip(docs, path, public_tokenizers.PATTERN).collect():
+        ids = whole.encode_ordinary(want[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(want[r["doc_id"]].encode()).hexdigest()
+
+
 def test_utf8_machine_is_incremental():
     from facetflow.llm.bpe import Utf8Machine
 
