@@ -15,8 +15,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import _parse_datatype_string
 
 from ..operators import graph
 
@@ -103,19 +107,24 @@ def report(crop: str, state: dict) -> dict:
 ORDER = ["seq", "action", "x", "y", "value"]
 
 
-def _fold(state: dict, log: pd.DataFrame) -> dict:
-    for row in log.sort_values(ORDER)[["action", "x", "y", "value"]].itertuples(index=False):
-        apply(state, *(None if isinstance(v, float) and pd.isna(v) else v for v in row))
+def _fold(state: dict, log: list[tuple]) -> dict:
+    """log: rows of ORDER; nulls sort first."""
+    for _, action, x, y, value in sorted(log, key=lambda row: [(v is not None, v) for v in row]):
+        apply(state, action, x, y, value)
     return state
 
 
 def fold(log: DataFrame) -> DataFrame:
-    """The last state of each crop of a finished log; events without a crop are one group of their own."""
+    """The last state of each crop of a finished log; events without a crop are one group of their own. One shuffle on crop, then Arrow batches of whole logs."""
+    shape = _parse_datatype_string(RESULT)
+    arrow = to_arrow_schema(shape)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([report(key[0], _fold(start(), rows))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs = zip(batch.column("crop").to_pylist(), batch.column("log").to_pylist(), strict=True)
+            yield pa.RecordBatch.from_pylist([report(crop, _fold(start(), [tuple(e[c] for c in ORDER) for e in events])) for crop, events in logs], arrow)
 
-    return log.select("crop", *ORDER).groupBy("crop").applyInPandas(run, RESULT)
+    return log.groupBy("crop").agg(F.collect_list(F.struct(*ORDER)).alias("log")).mapInArrow(run, shape)
 
 
 def stream(log: DataFrame) -> DataFrame:
@@ -123,7 +132,8 @@ def stream(log: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(kept.get[0]) if kept.exists else start()
-        _fold(state, pd.concat(batches))
+        rows = pd.concat(batches)[ORDER].astype(object)
+        _fold(state, list(rows.where(rows.notna(), None).itertuples(index=False, name=None)))
         kept.update((json.dumps(state),))
         yield pd.DataFrame([report(key[0], state)])
 
