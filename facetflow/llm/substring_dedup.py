@@ -44,6 +44,8 @@ from .kmers import mix, sliding_min, window_hashes, word_hashes
 
 WINDOW, ANCHOR, FILTER_BITS = 50, 25, 27
 SPANS = "array<struct<start:int,length:int>>"
+#: A key is hot if it has over 1 of so many rows, so there are fewer hot keys than that; a hot key is dealt over so many salts.
+HOT_SHARE, SALTS = 1000, 256
 
 
 def _paths(batch: pa.RecordBatch, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -66,6 +68,18 @@ def _paths(batch: pa.RecordBatch, window: int, anchor: int) -> tuple[np.ndarray,
         return row[starts], position[starts], least[starts], np.diff(np.r_[starts, len(windows)]), windows
 
 
+def _salted_join(rows: DataFrame, facts: DataFrame, counts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with facts on keys; facts and counts hold each key once, with the number of its rows, of total, in column c.
+
+    Hot keys are dealt over salts. Their list has less than HOT_SHARE rows, so it is broadcast; their facts are repeated for each salt.
+    """
+    hot = F.col("c") * HOT_SHARE > total
+    listed = F.broadcast(counts.where(hot).select(*keys, F.lit(True).alias("_hot")))
+    dealt = rows.join(listed, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in ("doc_id", "start", "path") if c in rows.columns]), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    copied = facts.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("c")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text_hash, spans: words covered by windows that also start in a document with a lesser doc_id."""
     spark = docs.sparkSession
@@ -113,7 +127,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     hashed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = stash(hashed.mapInArrow(occurrences, "m long, path long, doc_id long, text_hash long, start int, n int, windows binary"), "paths")
-    paths = stash(found.groupBy("m", "path").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("source")), "sources")
+    paths = stash(found.groupBy("m", "path").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("source"), F.count("*").alias("c")), "sources")
     branching = paths.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
     # One copy of each path that branches, taken from its source's place.
     at = paths.join(branching, "m").select("m", "path", F.col("source.doc_id").alias("doc_id"), F.col("source.text_hash").alias("text_hash"), F.col("source.start").alias("start"))
@@ -129,11 +143,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             yield pa.record_batch([*taken.columns, pa.array(place.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int64))], names=["m", "path", "doc_id", "place", "w"])
 
     opened = stash(copies.select("m", "path", "doc_id", "windows").mapInArrow(open_paths, "m long, path long, doc_id long, place int, w long"), "windows")
-    least = opened.groupBy("m", "w").agg(F.min("doc_id").alias("low"), F.count("*").alias("c")).where("c > 1").select("m", "w", "low")
+    least = opened.groupBy("m", "w").agg(F.min("doc_id").alias("low"), F.count("*").alias("c")).where("c > 1")
     # A path has window - anchor + 1 windows at most. Places whose least document is the path's own need no row.
-    shared = opened.join(least, ["m", "w"]).where("low < doc_id").groupBy("m", "path").agg(F.collect_list(F.struct("place", "low")).alias("lower"))
-    marked = paths.select("m", "path", F.col("source.doc_id").alias("source")).join(shared, ["m", "path"], "left")
-    hits = found.select("m", "path", "doc_id", "text_hash", "start", "n").join(marked, ["m", "path"]).where("source < doc_id or lower is not null")
+    shared = _salted_join(opened, least, least, ["m", "w"], opened.count()).where("low < doc_id").groupBy("m", "path").agg(F.collect_list(F.struct("place", "low")).alias("lower"))
+    marked = paths.select("m", "path", "c", F.col("source.doc_id").alias("source")).join(shared, ["m", "path"], "left")
+    hits = _salted_join(found.select("m", "path", "doc_id", "text_hash", "start", "n"), marked, paths, ["m", "path"], found.count()).where("source < doc_id or lower is not null")
 
     def spans(c: str) -> F.Column:
         return F.when(F.col("source") < F.col("doc_id"), F.array(F.struct(F.col("start"), (F.col("n") + window - 1).alias("length")))).otherwise(
