@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetflow.llm import packing, pii, quality_rules, simhash, substring_dedup
+from facetflow.llm import near_copies, packing, pii, quality_rules, substring_dedup
 from facetflow.llm.common import stash, table
 
 
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.first_of_groups(docs)
+    """One document of each group of near-duplicates (Jaccard similarity of five-word shingles from 0.8 on) stays."""
+    return near_copies.first_of_groups(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

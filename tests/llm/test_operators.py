@@ -164,6 +164,37 @@ def test_simhash(docs):
     assert sorted(r["doc_id"] for r in first_of_groups(docs).collect()) == sorted(set(component.values()))
 
 
+def test_pipeline_near_duplicates(spark, docs):
+    """Against brute force over five-word shingles, through the stage itself."""
+    from itertools import combinations
+
+    from corpus_pipeline import STAGES
+
+    rng = random.Random(7)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for k in (2, 4, 7, 11, 13, 20):  # changed words, far enough apart: beyond two bits of a fingerprint
+        for changes in range(1, 9):
+            words = rows[k][1].split()
+            for at in rng.sample(range(len(words)), min(changes, len(words))):
+                words[at] = f"new{at}"
+            rows.append((1000 + 10 * k + changes, " ".join(words)))
+    chain = [f"c{i}" for i in range(60)]
+    rows += [(2000 + k, " ".join(chain[2 * k : 2 * k + 40])) for k in range(8)]  # each near the next, the ends apart
+    rows += [(3000, rows[2][1].upper()), (3001, "x"), (3001, "another text under the same id as x, which is a copy")]
+    shingles = {}
+    for i, t in enumerate(rows):
+        words = (t[1] or "").encode().lower().split()
+        shingles[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    root = list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]) and root[a] != root[b]:
+            root = [root[a] if r == root[b] else r for r in root]
+    want = sorted(min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root))
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    got = dict(STAGES)["simhash_near_dedup"](spark, frame, "").collect()
+    assert sorted(r["doc_id"] for r in got) == want
+
+
 def test_embedding_dedup(spark):
     from facetflow.llm.embedding_dedup import near_duplicates
 
