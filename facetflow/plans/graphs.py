@@ -28,6 +28,34 @@ def battery_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.groupBy(F.split("failure", ":")[0].alias("tag")).agg(F.count("*").alias("n"), F.countDistinct("crop").alias("crops"))
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of both runs of relational.RUNS, each from its own edges."""
+    nodes, edges, labels = _tables(spark, sf_dir)
+    base = spark.sql(f"WITH {relational.RUNS} SELECT * FROM base")
+    of = lambda run, e: battery.report(battery.gather(nodes, e, labels)).select(F.lit(run).alias("run"), "crop", "ok", "failures")
+    return of("new", edges).unionByName(of("base", base))
+
+
+def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda run: F.bool_and(F.when(F.col("run") == run, F.col("ok"))).alias(run)
+    return _runs(spark, sf_dir).groupBy("crop").agg(of("new"), of("base"))
+
+
+def battery_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda c, name: F.count_if(c).alias(name)
+    new, base = F.col("new"), F.col("base")
+    return _passing(spark, sf_dir).agg(F.count("*").alias("crops"), count(new, "new_pass"), count(base, "base_pass"), count(new & ~base, "fixed"), count(~new & base, "broken"))
+
+
+def battery_run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passing(spark, sf_dir).where("new <> base").select("crop", F.when(F.col("new"), "fixed").otherwise("broken").alias("change"))
+
+
+def battery_run_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = _runs(spark, sf_dir).select("run", F.explode("failures").alias("failure")).withColumn("tag", F.split("failure", ":")[0])
+    return tags.groupBy("tag").agg(F.count_if(F.col("run") == "new").alias("new_count"), F.count_if(F.col("run") == "base").alias("base_count"))
+
+
 def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reports(spark, sf_dir).select("crop", (~F.exists("failures", lambda f: f.startswith("DISCONNECTED"))).alias("connected"))
 
@@ -53,5 +81,5 @@ GOLDEN_MATCH_SQL = f"""WITH RECURSIVE {relational.GOLDEN}, c AS (SELECT g.crop,
   UNION ALL SELECT o.crop, o.k, CASE WHEN list_contains(gs, o.gi) OR list_contains(ds, o.di) THEN gs ELSE list_append(gs, o.gi) END, CASE WHEN list_contains(gs, o.gi) OR list_contains(ds, o.di) THEN ds ELSE list_append(ds, o.di) END, o.gi, o.di, o.d2, NOT (list_contains(gs, o.gi) OR list_contains(ds, o.di)) FROM f JOIN o ON f.crop = o.crop AND o.k = f.k + 1)
  SELECT crop, gi, di, d2 FROM f WHERE taken"""
 
-QUERIES = {f.__name__: f for f in (full_battery, battery_histogram, connected, golden_match)}
+QUERIES = {f.__name__: f for f in (full_battery, battery_histogram, battery_run_summary, battery_run_changes, battery_run_histogram, connected, golden_match)}
 ORACLE_SQL = {"connected": CONNECTED_SQL, "golden_match": GOLDEN_MATCH_SQL}

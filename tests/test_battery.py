@@ -74,3 +74,27 @@ def test_queries_agree_with_sql(spark):
         columns = sorted(got.columns)
         want = con.execute(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]}) t").fetchall()
         assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in columns)) for r in got.collect()), name
+
+
+def test_both_runs_are_judged_by_the_same_battery(spark):
+    import __spark_entry__ as entry
+    from facetflow.plans import relational
+
+    folder, queries = "/root/testdata/sf0.001", entry.queries()
+    histogram = {r["tag"]: (r["new_count"], r["base_count"]) for r in queries["battery_run_histogram"](spark, folder).collect()}
+    own = f"WITH {relational.RUNS}, base_ends AS (SELECT crop, u AS id FROM base UNION ALL SELECT crop, w FROM base), deg AS (SELECT crop, id, count(*) AS n FROM base_ends GROUP BY crop, id) SELECT n.crop FROM nodes n JOIN deg ON n.crop = deg.crop AND n.id = deg.id WHERE deg.n > n.degree"
+    overflow = [r["crop"] for r in spark.sql(own).collect()]
+    assert overflow and histogram["DEGREE_OVERFLOW"][1] == len(overflow)
+    nodes, edges, labels = (spark.sql(f"WITH {relational.RUNS} SELECT * FROM {t}").collect() for t in ("nodes", "base", "labels"))
+    ring = {r["crop"]: r["ring"] for r in labels}
+    vertices, drawn = {}, {}
+    for r in nodes:
+        vertices.setdefault(r["crop"], []).append((r["id"], r["degree"], (r["x"], r["y"])))
+    for r in edges:
+        drawn.setdefault(r["crop"], []).append((r["u"], r["w"]))
+    base = {c: not battery(sorted(v), sorted(drawn.get(c, [])), ring.get(c))[0] for c, v in vertices.items()}
+    new = {r["crop"]: r["ok"] for r in queries["full_battery"](spark, folder).collect()}
+    assert {r["crop"]: r["change"] for r in queries["battery_run_changes"](spark, folder).collect()} == {c: "fixed" if new[c] else "broken" for c in new if new[c] != base[c]}
+    got = queries["battery_run_summary"](spark, folder).first()
+    assert (got["crops"], got["new_pass"], got["base_pass"]) == (len(new), sum(new.values()), sum(base.values()))
+    assert got["broken"] - got["fixed"] == got["base_pass"] - got["new_pass"]
