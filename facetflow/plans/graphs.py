@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import battery, graph
@@ -56,6 +56,21 @@ def battery_run_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.groupBy("tag").agg(F.count_if(F.col("run") == "new").alias("new_count"), F.count_if(F.col("run") == "base").alias("base_count"))
 
 
+def battery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SURVEY AGG-3 over the reports: crops of each kind of failure."""
+    has = lambda *tags: F.count_if(F.exists("failures", lambda f: F.split(f, ":")[0].isin(*tags)))
+    counts = {"no_nodes": has("EMPTY"), "overflow": has("DEGREE_OVERFLOW"), "out_of_range": has("RING_TOO_SMALL", "RING_TOO_LARGE"), "mismatch": has("RING_MISMATCH"), "disconnected": has("DISCONNECTED"), "nonplanar": has("NONPLANAR"), "errors": has("ERROR")}
+    reports, labels = _reports(spark, sf_dir), _tables(spark, sf_dir)[2].select("crop", "ring")
+    valid = F.count_if("ok")
+    return reports.join(labels, "crop", "left").agg(F.count("*").alias("total"), valid.alias("valid"), F.count_if(F.col("ok") & F.col("ring").isNotNull()).alias("valid_labeled"), *(c.alias(n) for n, c in counts.items()), F.round(100.0 * valid / F.count("*"), 4).alias("pct"))
+
+
+def battery_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid crops have priority 0, others 1 by their number of failures."""
+    by = Window.partitionBy("p").orderBy("bad", "crop")
+    return _reports(spark, sf_dir).select("crop", F.when(F.col("ok"), 0).otherwise(1).alias("p"), F.size("failures").alias("bad")).select("crop", F.row_number().over(by).cast("long").alias("place"), "p")
+
+
 def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reports(spark, sf_dir).select("crop", (~F.exists("failures", lambda f: f.startswith("DISCONNECTED"))).alias("connected"))
 
@@ -81,5 +96,5 @@ GOLDEN_MATCH_SQL = f"""WITH RECURSIVE {relational.GOLDEN}, c AS (SELECT g.crop,
   UNION ALL SELECT o.crop, o.k, CASE WHEN list_contains(gs, o.gi) OR list_contains(ds, o.di) THEN gs ELSE list_append(gs, o.gi) END, CASE WHEN list_contains(gs, o.gi) OR list_contains(ds, o.di) THEN ds ELSE list_append(ds, o.di) END, o.gi, o.di, o.d2, NOT (list_contains(gs, o.gi) OR list_contains(ds, o.di)) FROM f JOIN o ON f.crop = o.crop AND o.k = f.k + 1)
  SELECT crop, gi, di, d2 FROM f WHERE taken"""
 
-QUERIES = {f.__name__: f for f in (full_battery, battery_histogram, battery_run_summary, battery_run_changes, battery_run_histogram, connected, golden_match)}
+QUERIES = {f.__name__: f for f in (full_battery, battery_histogram, battery_run_summary, battery_run_changes, battery_run_histogram, battery_summary, battery_queue, connected, golden_match)}
 ORACLE_SQL = {"connected": CONNECTED_SQL, "golden_match": GOLDEN_MATCH_SQL}

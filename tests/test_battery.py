@@ -98,3 +98,19 @@ def test_both_runs_are_judged_by_the_same_battery(spark):
     got = queries["battery_run_summary"](spark, folder).first()
     assert (got["crops"], got["new_pass"], got["base_pass"]) == (len(new), sum(new.values()), sum(base.values()))
     assert got["broken"] - got["fixed"] == got["base_pass"] - got["new_pass"]
+
+
+def test_summary_and_queue_take_the_whole_battery(spark):
+    import __spark_entry__ as entry
+
+    folder, queries = "/root/testdata/sf0.001", entry.queries()
+    reports = {r["crop"]: r["failures"].split("; ") if r["failures"] else [] for r in queries["full_battery"](spark, folder).collect()}
+    got = queries["battery_summary"](spark, folder).first()
+    assert (got["total"], got["valid"]) == (len(reports), sum(not f for f in reports.values()))
+    for name, tag in (("no_nodes", "EMPTY"), ("disconnected", "DISCONNECTED"), ("nonplanar", "NONPLANAR"), ("overflow", "DEGREE_OVERFLOW"), ("out_of_range", "RING_TOO"), ("mismatch", "RING_MISMATCH"), ("errors", "ERROR")):
+        assert got[name] == sum(any(x.startswith(tag) for x in f) for f in reports.values()), name
+    assert got["disconnected"] > 0
+    queue = queries["battery_queue"](spark, folder).collect()
+    for p in (0, 1):
+        want = sorted((len(f), c) for c, f in reports.items() if bool(f) == bool(p))
+        assert [r["crop"] for r in sorted(queue, key=lambda r: r["place"]) if r["p"] == p] == [c for _, c in want]
