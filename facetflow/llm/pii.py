@@ -88,6 +88,19 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             end = m.end()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A match may run on over words that follow, or start too early: ends at its spaces are tried, the longest first, then later starts."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at, start, end = m.start() + 1, m.start(), m.end()
+        while end > start and len(plain := text[start:end].replace(" ", "")) >= 15:
+            if len(plain) <= 34 and mod97(plain):
+                yield start, end
+                at = end
+                break
+            end = text.rfind(" ", start, end)
+
+
 def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans, by kind."""
     if "@" in text:
@@ -105,10 +118,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            yield "iban", m.start(), m.end()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     if "-" in text:
         for m in _SSN.finditer(text):
             yield "ssn", m.start(), m.end()

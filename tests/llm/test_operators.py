@@ -113,6 +113,15 @@ def test_pii_patterns(docs, spark):
     assert redacted[86] is None and "[EMAIL]" in redacted[94] and "@" not in redacted[94]
 
 
+def test_iban_before_other_words():
+    from facetflow.llm import pii
+
+    for text, iban in (("IBAN GB82 WEST 1234 5698 7654 32 BIC NWBKGB2L", "GB82 WEST 1234 5698 7654 32"), ("IBAN DE89 3704 0044 0532 0130 00 2024", "DE89 3704 0044 0532 0130 00"), ("REF XX12 3456 GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32")):
+        assert [text[s:e] for k, s, e, _ in pii.find(text) if k == "iban"] == [iban]
+        assert iban not in pii.masked(text)
+    assert "iban" not in [x[0] for x in pii.find("IBAN GB82 WEST 1234 5698 7654 33 BIC NWBKGB2L")]
+
+
 def test_warc_revisits(spark, tmp_path):
     from facetflow.llm import warc
 
