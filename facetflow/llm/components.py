@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, unstash
+from .common import salted_join, stash, unstash
 
 
 def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,15 +45,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Each round attaches every node to the least of its neighbourhood, first
     across its larger neighbours, then its smaller ones; the number of rounds
     grows with the logarithm of the number of nodes. Minima are aggregated
-    before they are shuffled; adaptive execution splits the joins of hub nodes.
+    before they are shuffled, and hub nodes are dealt over salts.
     """
     now = stash(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     while not _is_stars(now):
+        total = 2 * now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
-        large = now.join(least, "v").select("u", F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "c")
+        large = salted_join(now, least, ["v"], total).select("u", F.col("m").alias("v")).distinct()
+        root = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = salted_join(large, root, ["u"], total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stash(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "edges")
         unstash(now)
         now = after
