@@ -11,17 +11,18 @@ keys miss do not exist; candidates are verified by counting bits.
 
 Equal fingerprints are joined before keys are made, so copies never meet as
 pairs. Rows with equal keys are compared in streams sorted by key; of the links
-found only stars go on to the components.
+found only stars go on to the components. A key of more than `bucket` rows is
+cut once more: of the third segment's three parts one has no error, so each
+part, with the key, is a key of its own.
 
 Null, empty and short texts have the fingerprint of what words they have; none:
-zero. Repeated rows fall together; rows with a null doc_id get a fingerprint,
+zero, linked like any other. Repeated rows fall together; rows with a null doc_id get a fingerprint,
 but link with nothing and have a null component. An empty table gives an empty
 result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_text, slices, stash, table
+from .common import doc_text, salted_join, slices, stash, table, unstash
 from .components import components, local_stars
 
 SHINGLE, SEED = 3, 42
@@ -40,30 +41,40 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRWISE = 3000
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A to Z change
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A to Z change
+
+
+def shingle_hashes(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the shingles in order, repeats included; fewer words are one shingle, none give none."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    joined = b" ".join(words)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1].tolist()
-    digest, ends = xxhash.xxh64_intdigest, ends.tolist()
-    n = len(words) - shingle + 1
-    hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=False)), np.uint64, n)
+    starts, ends = np.r_[0, ends[:-1] + 1].tolist(), ends.tolist()
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :], strict=False)), np.uint64, len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     set_bits = np.zeros(64, np.int64)
-    for k in range(0, n, 4096):
+    for k in range(0, len(hashes), 4096):
         set_bits += np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
+
 
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(words_of(text), shingle, seed))
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fp: the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, fp long")
@@ -154,7 +165,23 @@ def links_in_bucket(fps: np.ndarray, bits: int = 2) -> tuple[np.ndarray, np.ndar
     return local_stars(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def links(distinct: DataFrame) -> DataFrame:
+#: Rows of one key that are compared in one go.
+BUCKET = 50_000
+
+
+def _finer(key: str, fp: str) -> F.Column:
+    """Of a key, what its rows are cut by: the three parts of the segment that the key says nothing of."""
+    cuts = []
+    for k in range(3):
+        start, width = SEGMENTS[(k + 2) % 3]
+        sizes = [width - 2 * (width // 3), width // 3, width // 3]
+        starts = [start, start + sizes[0], start + sizes[0] + sizes[1]]
+        cuts.append(F.array(*[F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << n) - 1)) + F.lit((j + 1) << 10) for j, (s, n) in enumerate(zip(starts, sizes, strict=True))]))
+    which = F.shiftright(key, 34)
+    return F.when(which == 0, cuts[0]).when(which == 1, cuts[1]).otherwise(cuts[2])
+
+
+def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """distinct(fp, node) -> a, b: nodes whose fingerprints link, enough of them to give all components."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +193,7 @@ def links(distinct: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(key), pa.array(fp[place]), pa.array(node[place])], names=["key", "fp", "node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # rows of the key that may go on in the next batch
+        held: list[tuple[np.ndarray, ...]] = []  # rows of the key that may go on in the next batch; at most `bucket`, but for what shares a part, too
 
         def of(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
             cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
@@ -190,8 +217,8 @@ def links(distinct: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, fp, node = (batch.column(c).to_numpy() for c in ("key", "fp", "node"))
-            fp = fp.view(np.uint64)
+            key, part, fp, node = (batch.column(c).to_numpy() for c in ("key", "part", "fp", "node"))
+            key, fp = key << 13 | part, fp.view(np.uint64)
             if key[0] == key[-1] and (not held or held[0][0][0] == key[0]):
                 held.append((key, fp, node))
                 continue
@@ -204,25 +231,22 @@ def links(distinct: DataFrame) -> DataFrame:
             yield out
 
     keyed = distinct.select("fp", "node").mapInArrow(emit, "key long, fp long, node long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    large = keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > bucket)
+    parted = keyed.join(large, "key", "left").withColumn("part", F.explode(F.when(F.col("rows").isNull(), F.array(F.lit(0).cast("long"))).otherwise(_finer("key", "fp"))))
+    return parted.select("key", "part", "fp", "node").repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fp, component_id: the least doc_id reachable over links."""
-    fps = stash(fingerprints(docs), "fingerprints")
-    distinct = stash(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    joined = components(links(distinct), "a", "b")
-    of_fp = distinct.join(joined, "node", "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "node").alias("component_id"))
-    found = fps.join(of_fp, F.col("fp") == F.col("of_fp"), "left")
-    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all of their columns, whose doc_id is the least of its component; rows that repeat both doc_id and text count once. Rows with a null doc_id stay."""
-    mark = f"_{uuid.uuid4().hex}"
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns, F.xxhash64("text").alias(mark))
-    return left.dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    fps = stash(fingerprints(docs, shingle), "fingerprints")
+    known = fps.where("doc_id is not null")
+    distinct = stash(known.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")), "distinct")
+    joined = components(links(distinct, bucket), "a", "b")
+    of_fp = distinct.join(joined, "node", "left").select("fp", "c", F.coalesce("component", "node").alias("component_id"))
+    found = salted_join(known, of_fp, ["fp"], fps.count()).select("doc_id", "fp", "component_id")
+    result = stash(found.unionByName(fps.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long"))), "components")
+    unstash(fps, distinct)
+    return result
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
