@@ -9,8 +9,9 @@ the last remainder is cut into sequences whose lengths are powers of two, so
 nothing is padded. State is bounded by windows x size ids a partition, nothing
 is shuffled, and a partition that is run again gives the same sequences.
 
-Null and empty texts give one piece: the closing id alone. Repeated rows are
-packed each on its own. An empty table gives an empty result. Other columns of
+Strings of the tokenizer's special tokens in a text get these tokens' ids, as in
+the library's plain call. Null and empty texts give one piece: the closing id
+alone. Rows with a null doc_id and repeated rows are packed each on its own. An empty table gives an empty result. Other columns of
 the input are ignored.
 """
 
@@ -34,18 +35,20 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def json_encoder(path: str) -> ChunkEncoder:
-    """The encoder of a tokenizer file, kept by a worker from task to task. Strings of special tokens count as ordinary text."""
+    """The encoder of a tokenizer file, kept by a worker from task to task."""
     if path not in _ENCODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = tokenizer.get_added_tokens_decoder()
+        if any(x.lstrip or x.rstrip or x.single_word for x in added.values()):
+            raise ValueError("tokens that take in what is beside them are not supported")
 
         def many(chunks: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for k in range(0, len(chunks), 4096) for e in tokenizer.encode_batch_fast(chunks[k : k + 4096], add_special_tokens=False)]
 
-        _ENCODERS[path] = ChunkEncoder(many)
+        _ENCODERS[path] = ChunkEncoder(many, special={x.content: int(k).to_bytes(4, "little") for k, x in added.items()})
     return _ENCODERS[path]
 
 

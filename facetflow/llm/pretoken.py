@@ -5,7 +5,8 @@ space behind another character of the piece, unless the piece is white space
 altogether. A space between two characters that are not white space therefore
 always starts a piece, and a newline between two such characters always is a
 piece of its own. Texts can so be cut there into chunks that are encoded
-independently, and equal chunks need encoding only once.
+independently, and equal chunks need encoding only once. Strings of special
+tokens are cut out before; what lies between two is a text of its own.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ _LONGEST = 48
 class ChunkEncoder:
     """encode_many: the ids of each of some chunks, as little-endian unsigned 32-bit integers.
 
+    special: the ids of strings that stand for one token wherever they occur.
     The memo holds at most about `limit` chunks and starts afresh beyond; results never depend on it.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 600_000):
-        self.encode_many, self.limit = encode_many, limit
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 600_000, special: dict[str, bytes] | None = None):
+        self.encode_many, self.limit, self.special = encode_many, limit, special or {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.newline = encode_many(["\n"])[0]
         self._clear()
 
@@ -43,6 +46,13 @@ class ChunkEncoder:
             memo.update(zip(good, self.encode_many([lead + x for x in good]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not any(s in t for s in self.special for t in texts):
+            return self._plain(texts)
+        parts = [self.cut.split(t) for t in texts]
+        between = iter(self._plain([x for p in parts for x in p[::2]]))
+        return [b"".join([self.special[x] if k % 2 else next(between) for k, x in enumerate(p)]) for p in parts]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) + len(self.first) + len(self.whole) > self.limit:
             self._clear()
         cut = [[line.split(" ") for line in t.split("\n")] for t in texts]
