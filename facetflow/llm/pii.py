@@ -2,10 +2,12 @@
 
 Regular expressions propose spans. Validators confirm them: Luhn for cards,
 mod-97 for bank accounts (IBAN), ranges for addresses, digit counts for phones.
-Each confirmed span has a score; words nearby that name its kind raise it,
-words that speak against it lower it. Spans of the four base kinds always stay;
-those of the added kinds (iban; ssn, a number in the form 000-00-0000) stay
-from a score of `threshold` on. Added spans that overlap a base span go.
+Each confirmed span has a score, by how much its validator proves; words nearby
+that name its kind raise it, words that speak against it lower it. Spans of the
+four base kinds always stay, unless `base_threshold` is given; those of the
+added kinds (iban; ssn, a number in the form 000-00-0000) stay from a score of
+`threshold` on: an iban unless words speak against it only, an ssn only if words
+speak for it. Added spans that overlap a base span go.
 
 Null and empty texts have no spans. Texts are searched whole; every pattern
 takes time in proportion to the text. Repeated rows are searched each on its
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_text, slices, table
+from .common import doc_text, numbered, slices, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn")
@@ -51,7 +53,7 @@ _CONTEXT = {
     "ssn": (re.compile(r"(?i)\b(ssn|social security)\b"), re.compile(r"(?i)\b(part|model|serial|order|isbn)\b")),
 }
 #: Score of a span that its validator has confirmed, by how much that proves.
-_CONFIRMED = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.95, "ssn": 0.4}
+_CONFIRMED = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.75, "ssn": 0.4}
 
 
 def luhn(digits: str) -> bool:
@@ -125,7 +127,7 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
             yield "ssn", m.start(), m.end()
 
 
-def find(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
+def find(text: str, threshold: float = THRESHOLD, base_threshold: float = 0.0) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by start, then kind as listed; code points, end exclusive."""
     out, taken = [], []
     for kind, start, end in _proposed(text):
@@ -133,6 +135,8 @@ def find(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, f
         for_it, against = _CONTEXT[kind]
         score = min(1.0, max(0.0, _CONFIRMED[kind] + 0.3 * bool(for_it.search(near)) - 0.3 * bool(against.search(near))))
         if kind in BASE_KINDS:
+            if score < base_threshold:
+                continue
             taken.append((start, end))
         elif score < threshold or any(s < end and start < e for s, e in taken):
             continue
@@ -140,13 +144,13 @@ def find(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, f
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def detect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def detect(docs: DataFrame, threshold: float = THRESHOLD, base_threshold: float = 0.0) -> DataFrame:
     """docs(doc_id, text) -> doc_id, spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in slices(batches, "text"):
-            found = [[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in find(t, threshold)] for t in batch.column("text").to_pylist()]
+            found = [[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in find(t, threshold, base_threshold)] for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
     return doc_text(docs).mapInArrow(run, f"doc_id long, spans {SPAN}")
@@ -164,22 +168,29 @@ def masked(text: str, threshold: float = THRESHOLD) -> str:
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The same rows and columns; in text, each span (or run of overlapping spans) gives way to the name of its first kind in brackets. Null texts stay null."""
 
+    at = docs.columns.index("text")
+    plain = numbered(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            at = batch.schema.get_field_index("text")
-            texts = pa.array([None if t is None else masked(t, threshold) for t in batch.column("text").to_pylist()], pa.string())
+        for batch in slices(batches, at):
+            texts = pa.array([None if t is None else masked(t, threshold) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.record_batch([texts if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def joined(spans: F.Column) -> F.Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def scores(spans: F.Column) -> F.Column:
+    """One for each of joined()."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.format_number(s["score"], 2)))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     of = lambda kind: F.filter(spans, lambda s: s["kind"] == kind)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
-    return detect(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    return detect(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"), scores(spans).alias("scores"))
