@@ -14,9 +14,10 @@ nothing. Results never depend on that.
 
 Decoding. Utf8Machine takes bytes of tokens as they come and keeps an
 incomplete character until its rest arrives; bytes that are not UTF-8 are
-passed on as bytes and shown as U+FFFD in text.
+passed on as bytes and shown as U+FFFD in text. What is decoded is what the
+machine emits; its moves over whole tokens are remembered.
 
-Null and empty texts have no ids. An empty table gives an empty result; other
+Null and empty texts have no ids. Repeated rows are encoded each on its own. An empty table gives an empty result; other
 columns of the input are ignored; very long texts go in slices of rows.
 """
 
@@ -227,16 +228,25 @@ class Utf8Machine:
         self.state, self.kept = self.START, b""
 
     @classmethod
-    def run(cls, state: tuple[int, int, int], data: bytes) -> tuple[tuple[int, int, int], bool]:
-        """State after the bytes, and whether all fitted."""
+    def run(cls, state: tuple[int, int, int], kept: bytes, data: bytes) -> tuple[tuple[int, int, int], bytes, bytes, bool]:
+        """State and incomplete character after the bytes, the bytes passed on meanwhile, and whether all fitted."""
+        out, good = [], True
         for b in data:
+            if state[0] and not state[1] <= b <= state[2]:
+                out.append(kept)
+                state, kept, good = cls.START, b"", False
             if state[0]:
-                if not state[1] <= b <= state[2]:
-                    return cls.START, False
-                state = (state[0] - 1, 0x80, 0xBF)
-            elif (state := _lead(b)) is None:
-                return cls.START, False
-        return state, True
+                state, kept = (state[0] - 1, 0x80, 0xBF), kept + bytes([b])
+            elif (lead := _lead(b)) is None:
+                out.append(bytes([b]))
+                good = False
+                continue
+            else:
+                state, kept = lead, bytes([b])
+            if not state[0]:
+                out.append(kept)
+                kept = b""
+        return state, kept, b"".join(out), good
 
     def feed(self, data: bytes) -> str:
         out = []
@@ -263,31 +273,42 @@ class Utf8Machine:
 
 
 class StreamDecoder:
-    """Bytes and text of ids. The UTF-8 machine's moves over whole tokens are memoised; tokens of whole characters need no step."""
+    """Bytes and text of ids. The UTF-8 machine's moves over whole tokens are remembered; tokens that take it from start to start need no look at the state."""
+
+    #: Moves from within a character that are remembered.
+    MOST = 1_000_000
 
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
-        self.closed = np.zeros(max(tokens) + 1, bool)
+        self.whole: list[bytes | None] = [None] * (max(tokens) + 1)
         for t, data in tokens.items():
-            self.closed[t] = Utf8Machine.run(Utf8Machine.START, data) == (Utf8Machine.START, True)
-        self.moves: dict[tuple, dict[int, tuple]] = {}
+            state, kept, out, good = Utf8Machine.run(Utf8Machine.START, b"", data)
+            if good and not kept:
+                self.whole[t] = out
+        self.moves: dict[tuple, tuple] = {}
 
     def __call__(self, ids: np.ndarray) -> tuple[bytes, bool]:
-        """The bytes, and whether they are UTF-8."""
-        listed = ids.tolist()
-        data = b"".join(map(self.tokens.__getitem__, listed))
-        if self.closed[ids].all():
-            return data, True
-        state = Utf8Machine.START
+        """What the machine emits, and whether it is UTF-8."""
+        listed, whole = ids.tolist(), self.whole
+        try:
+            return b"".join(map(whole.__getitem__, listed)), True
+        except TypeError:  # some token begins or ends within a character
+            pass
+        if len(self.moves) > self.MOST:
+            self.moves.clear()
+        out, good, state, kept, moves = [], True, Utf8Machine.START, b"", self.moves
         for t in listed:
-            row = self.moves.setdefault(state, {})
-            move = row.get(t)
+            if not kept and (emitted := whole[t]) is not None:
+                out.append(emitted)
+                continue
+            move = moves.get((kept, t))
             if move is None:
-                move = row[t] = Utf8Machine.run(state, self.tokens[t])
-            if not move[1]:
-                return data, False
-            state = move[0]
-        return data, not state[0]
+                move = moves[kept, t] = Utf8Machine.run(state, kept, self.tokens[t])
+            state, kept, emitted, fitted = move
+            out.append(emitted)
+            good = good and fitted
+        out.append(kept)
+        return b"".join(out), good and not kept
 
     def text(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as the ids come."""
