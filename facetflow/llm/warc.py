@@ -1,15 +1,22 @@
 """Operator 7: WARC archives with revisit records.
 
-write_pages() writes a response record a page. resolve() reads archives, shuffles
-their headers by payload digest, joins each record to the one that stays the
-response, and writes new archives with fresh headers: revisit records there
-refer to that response and hold no payload. read_records() gives the records of
-archives with their digests computed anew.
+write_pages() writes a response record a page. resolve() reads the headers of
+archives, shuffles them by payload digest, joins each record to the one that
+stays the response, and writes new archives with fresh headers: revisit records
+there refer to that response and hold no payload. read_records() gives the
+records of archives with their digests computed anew.
+
+Payloads never meet by digest. Headers do: digests are aggregated before they
+are shuffled, and the headers of a popular payload are dealt over salts. What
+comes of it is, for each archive, the list of its revisits by place; archives,
+as they are, compressed, are joined with these lists and written anew, each by
+one task.
 
 Archives are ordinary gzip-compressed WARC/1.1 files, written by Spark's own
 writer to the shared folder: a record is a row, and the two line ends behind
-each record are the row separator. A file holds what one task writes, and a task
-that reads holds one compressed file.
+each record are the row separator. A file holds at most `records_a_file`
+records, since a task that reads holds one compressed file, which must stay
+below 2 GB.
 
 Null html is an empty payload. Of equal payloads of at least `min_payload`
 bytes, the record with the largest page_id is the response and the others
@@ -25,16 +32,18 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table
+from .common import delete, picked, salted_join, shared_dir, slices, stash, table, unstash
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+RECORDS_A_FILE = 2000
+HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def digest(payload: bytes) -> str:
@@ -50,12 +59,12 @@ def _clean(value: str | None) -> str:
     return "".join(c for c in value or "" if c >= " ")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None, refers_url: str | None, revisit: bool) -> str:
-    """Header and block, without the two line ends that close a record."""
-    kind = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, sha)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_clean(url)}", f"WARC-Payload-Digest: sha1:{sha}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}"]
-    if revisit:
-        kind += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, sha)}", f"WARC-Refers-To-Target-URI: {_clean(refers_url)}", f"X-Refers-To-Page-ID: {refers_to}"]
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (b"" if revisit else payload)
+def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers: tuple | None = None) -> str:
+    """Header and block, without the two line ends that close a record. refers: page and url of the response that a revisit refers to."""
+    kind = [f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {record_id(page_id, sha)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_clean(url)}", f"WARC-Payload-Digest: sha1:{sha}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}"]
+    if refers:
+        kind += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers[0], sha)}", f"WARC-Refers-To-Target-URI: {_clean(refers[1])}", f"X-Refers-To-Page-ID: {refers[0]}"]
+    block = HEAD + (b"" if refers else payload)
     kind += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "WARC/1.1\r\n" + "\r\n".join(kind) + "\r\n\r\n" + block.decode()
 
@@ -94,70 +103,114 @@ def inflate(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
         yield chunk
 
 
+def _number(value: str | None) -> int | None:
+    return int(value) if value else None
+
+
+def _records(data: bytes) -> Iterator[tuple[int | None, str, bytes, int, str, str, int | None]]:
+    """page_id, url, payload, its size and digest, type, refers_to of each record; of responses, size and digest are those of the payload that was read, checked against the header."""
+    for fields, block in parse(inflate(data)):
+        kind, page, sha = fields["WARC-Type"], fields["X-Page-ID"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        payload, size = block.split(b"\r\n\r\n", 1)[1], int(fields["X-Payload-Length"])
+        if kind == "response" and (digest(payload) != sha or len(payload) != size):
+            raise ValueError(f"digest of page {page} does not match its payload")
+        yield _number(page), fields["WARC-Target-URI"], payload, size, sha, kind, _number(fields.get("X-Refers-To-Page-ID"))
+
+
+def _in_batches(rows: Iterable[tuple], names: list[str], kinds: list, weight) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += weight(row)
+        if size > 8 << 20 or len(held) >= 10_000:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path", "content")
+
+
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row for each record of the archives; digests and sizes of responses are those of the payload that was read, checked against the header."""
+    """A row for each record of the archives."""
+    kinds, names = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()], [x.split()[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        names = [x.split()[0] for x in RECORD.split(", ")]
         for batch in batches:
             for content in batch.column("content"):
-                rows, held = [], 0
-                for fields, block in parse(inflate(content.as_py())):
-                    kind = fields["WARC-Type"]
-                    page, sha = fields["X-Page-ID"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    payload, size = block.split(b"\r\n\r\n", 1)[1], int(fields["X-Payload-Length"])
-                    if kind == "response" and (digest(payload) != sha or len(payload) != size):
-                        raise ValueError(f"digest of page {page} does not match its payload")
-                    refers = fields.get("X-Refers-To-Page-ID")
-                    rows.append((int(page) if page else None, fields["WARC-Target-URI"], payload if payloads and kind == "response" else None, size, sha, kind, int(refers) if refers else None))
-                    held += len(payload)
-                    if held > 8 << 20:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("content").mapInArrow(run, RECORD)
-
-
-def write_archives(records: DataFrame, path: str) -> None:
-    """records(page_id, url, payload, payload_digest, refers_to, refers_url, revisit) -> gzip-compressed WARC files in path."""
+                rows = ((p, u, x if payloads and k == "response" else None, n, d, k, r) for p, u, x, n, d, k, r in _records(content.as_py()))
+                yield from _in_batches(rows, names, kinds, lambda r: len(r[2] or b""))
+
+    return _archives(spark, path).select("content").mapInArrow(run, RECORD)
+
+
+def _write(records: DataFrame, path: str, records_a_file: int) -> None:
+    """Texts of records -> gzip-compressed WARC files in path."""
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+
+
+def write_pages(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE) -> None:
+    """pages(page_id, url, html) -> archives of responses."""
+    rows = picked(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("page_id", "url", "payload", "payload_digest", "refers_to", "refers_url", "revisit")
         for batch in slices(batches, "payload"):
-            rows = zip(*(batch.column(n).to_pylist() for n in names), strict=True)
-            yield pa.record_batch([pa.array([record(p, u, x or b"", d or digest(x or b""), r, ru, bool(v)) for p, u, x, d, r, ru, v in rows], pa.string())], names=["value"])
+            yield pa.record_batch([pa.array([record(p, u, x, digest(x)) for p, u, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.string())], names=["value"])
+
+    _write(rows.mapInArrow(run, "value string"), path, records_a_file)
+
 
-    records.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """path and place of each record, with what its header says."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows = ((file, k, p, u, n, d) for k, (p, u, _, n, d, _, _) in enumerate(_records(content.as_py())))
+                yield from _in_batches(rows, ["path", "place", "page_id", "url", "payload_bytes", "payload_digest"], [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string()], lambda r: 100)
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """pages(page_id, url, html) -> archives of responses, one a task, so of the size of the input's splits."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    write_archives(rows.withColumns({"payload_digest": F.lit(None).cast("string"), "refers_to": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string"), "revisit": F.lit(False)}), path)
+    return _archives(spark, path).mapInArrow(run, "path string, place int, page_id long, url string, payload_bytes long, payload_digest string")
 
 
-def resolve(spark: SparkSession, source: str, target: str, min_payload: int = 0) -> None:
+def resolve(spark: SparkSession, source: str, target: str, min_payload: int = 0, records_a_file: int = RECORDS_A_FILE) -> None:
     """Archives in source -> deduplicated archives in target."""
-    records = read_records(spark, source)
-    headers = read_records(spark, source, payloads=False)
-    # Aggregated before the shuffle, so copies of one payload do not gather; only digests that occur more than once go on.
-    originals = headers.where(F.col("payload_bytes") >= min_payload).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("original"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("digest"), F.col("original.page_id").alias("original_id"), F.col("original.url").alias("original_url"))
-    refers = F.col("original_id").isNotNull() & (F.col("payload_bytes") >= min_payload) & ~F.col("page_id").eqNullSafe(F.col("original_id"))
-    joined = records.join(originals, F.col("payload_digest") == F.col("digest"), "left").select(
-        "page_id", "url", F.col("payload"), "payload_digest", F.when(refers, F.col("original_id")).alias("refers_to"), F.when(refers, F.col("original_url")).alias("refers_url"), refers.alias("revisit")
-    )
-    write_archives(joined, target)
+    headers = stash(_headers(spark, source), "headers")
+    able = headers.where(F.col("payload_bytes") >= min_payload)
+    # Copies of one payload are aggregated before the shuffle; only digests that occur more than once go on.
+    originals = stash(able.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("original"), F.count("*").alias("c")).where("c > 1"), "originals")
+    joined = salted_join(able.select("payload_digest", "path", "place", "page_id"), originals, ["payload_digest"], headers.count())
+    revisits = joined.where("not page_id <=> original.page_id").groupBy("path").agg(F.collect_list(F.struct("place", F.col("original.page_id").alias("page_id"), F.col("original.url").alias("url"))).alias("revisits"))
+    lists = stash(revisits, "revisits")  # at most records_a_file in each
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, found in zip(batch.column("content"), batch.column("revisits").to_pylist(), strict=True):
+                refers = {r["place"]: (r["page_id"], r["url"]) for r in found or []}
+                rows = ((record(p, u, x, d, refers.get(k)),) for k, (p, u, x, _, d, _, _) in enumerate(_records(content.as_py())))
+                yield from _in_batches(rows, ["value"], [pa.string()], lambda r: len(r[0]))
+
+    _write(_archives(spark, source).join(lists, "path", "left").select("content", "revisits").mapInArrow(run, "value string"), target, records_a_file)
+    unstash(headers, originals, lists)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_pages(table(spark, sf_dir, "pages"), f"{folder}/raw")
     resolve(spark, f"{folder}/raw", f"{folder}/resolved")
+    delete(spark, f"{folder}/raw")
     return read_records(spark, f"{folder}/resolved", payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base 32 by four digits for each five of the hexadecimal form.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h FROM p),
+b AS (SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(g * 5 + 1 AS BIGINT), 5) AS BIGINT) >> s) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest FROM d),
+m AS (SELECT h, max(page_id) AS original FROM d GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to FROM b JOIN m ON b.h = m.h"""
