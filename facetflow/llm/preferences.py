@@ -10,9 +10,9 @@ All is done in DataFrame functions with one shuffle, on the pair's number. A
 pair is one training example and must fit a row, as in any format of this kind;
 nothing else is ever gathered.
 
-Turns are ordered by turn, role, text (nulls first); repeated rows are turns of
-their own. Null roles and texts count as empty, an empty turn is rendered with
-its marks. Turns without a conversation belong to no pair and give no row. A
+Turns are ordered by turn (nulls first), role, text; repeated rows are turns of
+their own. Null roles and texts count as empty, also in that order; an empty turn
+is rendered with its marks. Turns without a conversation belong to no pair and give no row. A
 pair with one side only has no prompt turns and a null for the missing side.
 Equal conversations give empty completions. Texts are rendered unchanged, even
 if they hold marks: masks follow turns, not marks. An empty table gives an
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import picked, table
 
 START, END, TRAINED_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
 
@@ -32,7 +32,7 @@ START, END, TRAINED_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
 def by_neighbours(conversations: DataFrame) -> DataFrame:
     """Pairs of tables that name none: conversation 2k is the chosen, 2k + 1 the rejected one of pair k."""
     conv = F.col("conv_id").cast("long")
-    return conversations.where(conv.isNotNull()).select(F.floor(conv / 2).cast("long").alias("pair_id"), (F.pmod(conv, F.lit(2)) == 1).alias("rejected"), "turn", "role", "text")
+    return picked(conversations, "conv_id", "turn", "role", "text").where(conv.isNotNull()).select(F.floor(conv / 2).cast("long").alias("pair_id"), (F.pmod(conv, F.lit(2)) == 1).alias("rejected"), "turn", "role", "text")
 
 
 def _segments(turns: Column) -> Column:
@@ -48,7 +48,7 @@ def text_of(segments: Column) -> Column:
 def format_pairs(turns: DataFrame) -> DataFrame:
     """turns(pair_id, rejected, turn, role, text) -> a row for each pair: n_prompt_turns, n_chosen_turns, n_rejected_turns, prompt, chosen, rejected, usable."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = turns.where(F.col("pair_id").isNotNull() & F.col("rejected").isNotNull()).select("pair_id", "rejected", F.struct(F.col("turn").cast("long").alias("turn"), empty("role").alias("role"), empty("text").alias("text")).alias("t"))
+    rows = picked(turns, "pair_id", "rejected", "turn", "role", "text").where(F.col("pair_id").isNotNull() & F.col("rejected").isNotNull()).select("pair_id", "rejected", F.struct(F.col("turn").cast("long").alias("turn"), empty("role").alias("role"), empty("text").alias("text")).alias("t"))
     side = lambda flag: F.sort_array(F.collect_list(F.when(F.col("rejected") == flag, F.col("t"))))
     pairs = rows.groupBy("pair_id").agg(side(False).alias("a"), side(True).alias("b"))
     same = F.zip_with("a", "b", lambda x, y: x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
@@ -77,7 +77,7 @@ def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH t AS (
   SELECT conv_id // 2 AS pair_id, conv_id % 2 = 1 AS rejected, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
   FROM conversations WHERE conv_id IS NOT NULL),
 j AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.k, b.k) AS k, a.k IS NOT NULL AND b.k IS NOT NULL AND a.role = b.role AND a.text = b.text AS same
