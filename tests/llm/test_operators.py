@@ -21,6 +21,7 @@ def docs(spark):
     passage = text(70)
     rows = [text(rng.randint(1, 200)) for _ in range(80)]
     rows += [rows[3], rows[3], rows[5] + " more", f"{text(20)} {passage} {text(30)}", f"{text(5)} {passage}", passage, None, "", " ", "\n\n a  b\t\n", "x", "😀 é́", "a" * 30_000, "w " * 3000]
+    rows += ["x <|endoftext|> y", "<|endoftext|><|endoftext|>\n a<|endoftext|>", "a b \u2028", "a b \u0085", "a \u2029"]
     rows += ["Mail a.b@c.example.com or +1 (017) 555-7713, card 4111 1111 1111 1111, host 10.0.0.256 and 10.0.0.25.", "IBAN GB82 WEST 1234 5698 7654 32"]
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(rows)], SCHEMA)
 
@@ -110,7 +111,7 @@ def test_pii_patterns(docs, spark):
         assert [(s, k, e) for s, _, k, e in want] == [(s, k, e) for k, s, e, _ in pii.find(t) if k in base]
     assert [x[0] for x in pii.find("IBAN GB82 WEST 1234 5698 7654 32")] == ["iban"] and not pii.find("IBAN GB82 WEST 1234 5698 7654 33")
     redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
-    assert redacted[86] is None and "[EMAIL]" in redacted[94] and "@" not in redacted[94]
+    assert redacted[86] is None and "[EMAIL]" in redacted[99] and "@" not in redacted[99]
 
 
 def test_iban_before_other_words():
@@ -122,62 +123,153 @@ def test_iban_before_other_words():
     assert "iban" not in [x[0] for x in pii.find("IBAN GB82 WEST 1234 5698 7654 33 BIC NWBKGB2L")]
 
 
+def test_pii_scores_and_context():
+    from facetflow.llm import pii
+
+    iban = "GB82 WEST 1234 5698 7654 32"
+    score = lambda text, kind, **kw: [s for k, _, _, s in pii.find(text, **kw) if k == kind]
+    assert (score(f"account {iban}", "iban"), score(f"x {iban}", "iban"), score(f"model serial part {iban}", "iban")) == ([1.0], [0.75], [])
+    assert score("ssn 123-45-6789", "ssn") == [0.7] and not score("x 123-45-6789", "ssn") and not score("ssn order 123-45-6789", "ssn")
+    assert score("host 10.0.0.25", "ip") == [1.0] and score("version 10.0.0.25", "ip") == [0.4] and not score("version 10.0.0.25", "ip", base_threshold=0.5)
+
+
+def warc_brute(rows, min_payload=0):
+    """page -> bytes, digest, type, refers_to; rows are distinct in page."""
+    import base64
+
+    payload = {p: (h or "").encode() for p, _, h in rows}
+    out = {}
+    for p, x in payload.items():
+        best = max(q for q in payload if payload[q] == x)
+        revisit = len(x) >= min_payload and best != p
+        out[p] = (len(x), base64.b32encode(hashlib.sha1(x).digest()).decode(), "revisit" if revisit else "response", best if revisit else None)
+    return out
+
+
 def test_warc_revisits(spark, tmp_path):
+    import duckdb
+
     from facetflow.llm import warc
 
-    rows = [(1, "u1", "<p>é</p>"), (2, "u2", "x\r\n\r\ny"), (3, "u3", "<p>é</p>"), (4, None, None), (5, "u5", ""), (7, "u7", "<p>é</p>")]
-    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/raw")
+    schema = "page_id long, url string, html string, `a.b` string, HTML string"
+    rng = random.Random(3)
+    rows = [(1, "u1", "<p>é</p>"), (2, "u2", "x\r\n\r\ny"), (3, "u3", "<p>é</p>"), (4, None, None), (5, "u5", ""), (7, "u7", "<p>é</p>"), (8, "big", "é" * 6_000_000), (9, "big", "é" * 6_000_000)]
+    rows += [(k, f"u{k}", rng.choice(["", "a", "b" * 50, f"own {k}"])) for k in range(20, 120)]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], schema).repartition(3)
+    for n, (least, a_file) in enumerate(((0, 2000), (1, 7))):
+        warc.write_pages(pages, f"{tmp_path}/raw{n}", a_file)
+        warc.resolve(spark, f"{tmp_path}/raw{n}", f"{tmp_path}/out{n}", least, a_file)
+        got = {r["page_id"]: r for r in warc.read_records(spark, f"{tmp_path}/out{n}").collect()}
+        want = warc_brute(rows, least)
+        assert {k: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for k, r in got.items()} == want
+        text = {p: (h or "").encode() for p, _, h in rows}
+        assert all((bytes(r["payload"]) == text[k]) if r["record_type"] == "response" else r["payload"] is None for k, r in got.items())
+        sizes = [r["n"] for r in spark.read.format("binaryFile").load(f"{tmp_path}/out{n}/*.gz").selectExpr("1 as n").collect()]
+        assert len(sizes) >= len(rows) / a_file
+    assert sum(v[2] == "revisit" for v in want.values()) > 30
+    twice = [(1, "u", "x"), (1, "u", "x"), (0, "u", "x"), (None, "u", "x")]
+    warc.write_pages(spark.createDataFrame(twice, "page_id long, url string, html string"), f"{tmp_path}/raw")
     warc.resolve(spark, f"{tmp_path}/raw", f"{tmp_path}/out")
-    got = {r["page_id"]: r for r in warc.read_records(spark, f"{tmp_path}/out").collect()}
-    assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {1: ("revisit", 7), 2: ("response", None), 3: ("revisit", 7), 4: ("revisit", 5), 5: ("response", None), 7: ("response", None)}
-    assert bytes(got[2]["payload"]) == b"x\r\n\r\ny" and got[1]["payload"] is None and got[1]["payload_bytes"] == 9
-    warc.resolve(spark, f"{tmp_path}/raw", f"{tmp_path}/least", min_payload=1)
-    assert {r["page_id"] for r in warc.read_records(spark, f"{tmp_path}/least").collect() if r["record_type"] == "revisit"} == {1, 3}
-
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_records(spark, f"{tmp_path}/out").collect()), key=str) == [(0, "revisit", 1), (1, "response", None), (1, "response", None), (None, "revisit", 1)]
+    warc.write_pages(pages.limit(0), f"{tmp_path}/none")
+    warc.resolve(spark, f"{tmp_path}/none", f"{tmp_path}/none2")
+    assert warc.read_records(spark, f"{tmp_path}/none2").collect() == []
+    small = [r for r in rows if r[0] not in (8, 9)]
+    db = duckdb.connect()
+    db.register("pages", spark.createDataFrame(small, "page_id long, url string, html string").toArrow())
+    assert {r[0]: r[1:] for r in db.sql(f"select page_id, payload_bytes, payload_digest, record_type, refers_to from ({warc.SQL})").fetchall()} == warc_brute(small)
 
-def test_substring_dedup(docs):
-    from facetflow.llm.substring_dedup import clean
 
+def removed(rows):
+    """(doc_id, text) -> n_words, n_removed, words that stay."""
     seen: dict = {}
-    want = {}
-    for i, t in sorted(texts(docs).items()):
+    out = {}
+    for i, t in sorted(rows):
         words = t.encode().split()
         gone = set()
         for k in range(len(words) - 49):
             if seen.setdefault(tuple(words[k : k + 50]), i) < i:
                 gone |= set(range(k, k + 50))
-        want[i] = (len(words), len(gone), b" ".join(w for k, w in enumerate(words) if k not in gone).decode())
-    rows = clean(docs).collect()
-    assert {r["doc_id"]: (r["_n_words"], r["_n_removed"], " ".join((r["text"] or "").encode().decode().split())) for r in rows} == {i: (n, g, " ".join(t.split())) for i, (n, g, t) in want.items()}
-    assert sum(g for _, g, _ in want.values()) > 100
+        out[i] = (len(words), len(gone), b" ".join(w for k, w in enumerate(words) if k not in gone).decode())
+    return out
+
 
+def test_substring_dedup(docs):
+    import duckdb
 
-def test_simhash(docs):
+    from facetflow.llm import substring_dedup
+
+    want = removed(texts(docs).items())
+    assert sum(n for _, n, _ in want.values()) > 100
+    count = lambda: {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.counted(docs).collect()}
+    assert count() == want
+    got, before = ({r["doc_id"]: r["text"] for r in f.collect()} for f in (substring_dedup.clean(docs), docs))
+    assert got == {i: want[i][2] if want[i][1] else before[i] for i in before}
+    db = duckdb.connect()
+    db.register("documents", docs.toArrow())
+    rows = db.sql(f"select doc_id, n_words, n_removed, kept_sha256 from ({substring_dedup.SQL})").fetchall()
+    assert {r[0]: r[1:] for r in rows} == {i: (n, g, hashlib.sha256(t.encode()).hexdigest()) for i, (n, g, t) in want.items()}
+
+
+def test_substring_dedup_compares_words(spark, docs, monkeypatch):
+    """With hashes that meet by chance, comparing the words at the source finds it, and another seed is taken."""
+    from facetflow.llm import substring_dedup
+
+    true = substring_dedup.word_hashes
+
+    def poor(lists, seed=0):
+        return true(lists, seed) if seed else true([[b"same" for _ in words] for words in lists], 0)
+
+    monkeypatch.setattr(substring_dedup, "_paths", _poor_paths(substring_dedup._paths, poor))
+    assert {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.counted(docs).collect()} == removed(texts(docs).items())
+    marks = [{"start": s, "n": n, "doc": d, "hash": 7, "at": a} for s, n, d, a in ((3, 5, 1, 103), (8, 2, 1, 108), (20, 1, 1, 120), (10, 1, 2, 50), (5, 1, 1, 105))]
+    assert sorted(substring_dedup.compact(marks)) == [[1, 7, 103, 3, 7], [1, 7, 120, 20, 1], [2, 7, 50, 10, 1]]
+
+
+def _poor_paths(paths, hashes):
+    """_paths() as a function of its own, so that workers get it by value, with other hashes of words."""
+    import types
+
+    own = types.FunctionType(paths.__code__, paths.__globals__ | {"word_hashes": hashes, "__name__": "__main__"}, "_paths")
+    own.__module__ = "__main__"
+    return own
+
+
+@pytest.mark.parametrize("bucket", [50_000, 2])
+def test_simhash(spark, docs, bucket):
     import xxhash
 
-    from facetflow.llm.simhash import first_of_groups, fingerprint, near_duplicates
+    from facetflow.llm.simhash import fingerprint, near_duplicates
 
     t = "A b C d e"
     shingles = [b"a b c", b"b c d", b"c d e"]
     bits = [sum(xxhash.xxh64_intdigest(s, 42) >> k & 1 for s in shingles) for k in range(64)]
     assert fingerprint(t) == sum(1 << k for k, n in enumerate(bits) if 2 * n > 3)
-    rows = near_duplicates(docs).collect()
-    fps = {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in rows}
+    # Long texts with a word changed, whose fingerprints differ by few bits.
+    rng = random.Random(8)
+    long = [[f"w{rng.randrange(300)}" for _ in range(400)] for _ in range(3)]
+    near = [(500 + 40 * k + j, " ".join(words[: 9 * j] + ["new"] + words[9 * j + 1 :])) for k, words in enumerate(long) for j in range(40)]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
+    none = rows.where("doc_id in (3, 86)").selectExpr("cast(null as long) as doc_id", "text")
+    got = near_duplicates(rows.union(none), bucket=bucket).collect()
+    assert [(r["component_id"]) for r in got if r["doc_id"] is None] == [None, None]
+    fps = {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in got if r["doc_id"] is not None}
+    assert sum((fps[a] ^ fps[b]).bit_count() in (1, 2) for a in fps for b in fps if a < b) > 100
     component = {i: i for i in fps}
     for _ in fps:
         changed = {i: min(component[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 2) for i in fps}
         if changed == component:
             break
         component = changed
-    assert {r["doc_id"]: r["component_id"] for r in rows} == component
-    assert sorted(r["doc_id"] for r in first_of_groups(docs).collect()) == sorted(set(component.values()))
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == component
 
 
-def test_pipeline_near_duplicates(spark, docs):
+def test_pipeline_near_duplicates(spark, docs, monkeypatch):
     """Against brute force over five-word shingles, through the stage itself."""
     from itertools import combinations
 
     from corpus_pipeline import STAGES
+    from facetflow.llm import near_copies
 
     rng = random.Random(7)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -189,6 +281,8 @@ def test_pipeline_near_duplicates(spark, docs):
             rows.append((1000 + 10 * k + changes, " ".join(words)))
     chain = [f"c{i}" for i in range(60)]
     rows += [(2000 + k, " ".join(chain[2 * k : 2 * k + 40])) for k in range(8)]  # each near the next, the ends apart
+    # Texts that share many bands, but are less alike than 0.8 to each other, though each is near to the first.
+    rows += [(2100 + k, " ".join(f"m{i}" if i // 6 != k else f"n{k}x{i}" for i in range(120))) for k in range(20)]
     rows += [(3000, rows[2][1].upper()), (3001, "x"), (3001, "another text under the same id as x, which is a copy")]
     shingles = {}
     for i, t in enumerate(rows):
@@ -202,25 +296,58 @@ def test_pipeline_near_duplicates(spark, docs):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
     got = dict(STAGES)["simhash_near_dedup"](spark, frame, "").collect()
     assert sorted(r["doc_id"] for r in got) == want
+    monkeypatch.setattr(near_copies, "BLOCK", 3)  # parts of leaders, and blocks of bands
+    nulls = spark.createDataFrame([(None, "x", "en", "s", 1), (None, "x", "en", "s", 1)], SCHEMA)
+    got = near_copies.first_of_groups(frame.union(frame).union(nulls)).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == want and len(got) == len(want) + 2
+
+
+def linked_by_cosine(v):
+    """Links and least component of unit vectors, by brute force."""
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, True)
+    label = np.arange(len(v))
+    while True:
+        new = np.array([label[row].min() for row in link])
+        if (new == label).all():
+            return link.sum(1) - 1, label
+        label = new
 
 
 def test_embedding_dedup(spark):
-    from facetflow.llm.embedding_dedup import near_duplicates
+    from facetflow.llm.embedding_dedup import MultiIndex, near_duplicates, unit
 
     rng = np.random.default_rng(3)
-    base = rng.normal(size=(60, 16))
-    v = np.concatenate([base, base[:20] + 0.05 * rng.normal(size=(20, 16)), base[:5], base[:3] * 7]).astype(np.float32)
-    odd = [None, [0.0] * 16, [float("nan")] * 16, [1.0] * 5]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000 + k, x) for k, x in enumerate(odd)]
-    got = {r["vec_id"]: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
-    link = unit @ unit.T >= 0.95
-    label = np.arange(len(v))
-    for _ in v:
-        label = np.array([label[row].min() for row in link])
-    assert [got[i]["n_links"] for i in range(len(v))] == (link.sum(1) - 1).tolist()
-    assert [got[i]["component_id"] for i in range(len(v))] == label.tolist()
-    assert all(got[1000 + k]["n_links"] == 0 and got[1000 + k]["component_id"] == 1000 + k and got[1000 + k]["kept"] for k in range(4))
+    base = rng.normal(size=(500, 12))
+    side = rng.normal(size=(300, 12))
+    side -= (side * unit(base[:300])).sum(1, keepdims=True) * unit(base[:300])
+    cos = rng.uniform(0.95, 0.97, (300, 1))
+    v = np.concatenate([base, cos * unit(base[:300]) + np.sqrt(1 - cos**2) * unit(side), base[:5], base[:3] * 7, base[9] + 0.02 * rng.normal(size=(60, 12))]).astype(np.float32)
+    links, label = linked_by_cosine(v.astype(float))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    other = [(2000 + k, x) for k, x in enumerate(([1.0, 2.0], [2.0, 4.0], [1.0, 0.0], [3.0]))]
+    odd = [(3000 + k, x) for k, x in enumerate((None, [0.0] * 12, [float("nan")] * 12, [1.0] * 11 + [None], [float("inf")] + [1.0] * 11, []))]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows + other + odd], "vec_id long, embedding array<float>, `a.b` string, EMBEDDING string").repartition(3)
+    # One cell; cells of one level and of two, cut into blocks.
+    for how in ({}, {"block": 32, "per_cell": 8, "recall": 1.0}, {"block": 32, "per_cell": 8, "centroids": 3, "recall": 1.0}):
+        got = {r["vec_id"]: tuple(r)[1:] for r in near_duplicates(frame, **how).collect()}
+        assert [got[i][0] for i in range(len(v))] == links.tolist() and [got[i][1] for i in range(len(v))] == label.tolist()
+        assert [got[2000 + k] for k in range(4)] == [(1, 2000, True), (1, 2000, False), (0, 2002, True), (0, 2003, True)]
+        assert all(got[3000 + k] == (0, 3000 + k, True) for k in range(len(odd)))
+    found = near_duplicates(frame, block=32, per_cell=8).where("vec_id < 2000").agg({"n_links": "sum"}).first()[0]
+    assert 0.9 * links.sum() <= found <= links.sum()
+    index = MultiIndex(unit(v), len(v), recall=1.0, per_cell=8, most=3)
+    assert len(np.unique(index.cells(unit(v)))) > 40
+    # Each cost is a lower bound of the squared distance, and the traversal visits all cells within the bound, cheapest first.
+    u, cells = unit(v), index.cells(unit(v))
+    for k, seen in zip(range(0, 40), index.visits(u[:40]), strict=True):
+        cost = index._cost(np.repeat(u[k : k + 1], len(u), 0), cells)
+        assert (cost <= ((u - u[k]) ** 2).sum(1) + 1e-5).all()
+        assert set(cells[cost <= index.bound].tolist()) <= set(seen) and seen[0] == cells[k]
+    # Ids that repeat or are null name vectors all the same.
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.01]), (None, [-1.0, 0.0]), (5, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, near_duplicates(twice).collect()), key=str) == [(1, 1, 1, True), (1, 1, 1, True), (5, 1, 1, False), (None, 0, None, True), (None, 1, 1, False)]
 
 
 def test_preferences(spark):
@@ -229,8 +356,10 @@ def test_preferences(spark):
     from facetflow.llm import preferences
 
     S, U, A = ("system", "s"), ("user", "u"), ("assistant", "a")
-    talks = {0: [S, U, A], 1: [S, U, ("assistant", "b"), U, A], 2: [U, A], 3: [U, A], 4: [("user", "x"), A], 5: [U, A], 6: [U, A], 9: [(None, None), A], 10: [("", ""), A], 11: [(None, None), ("assistant", "<|im_end|>é😀")], 12: [U], 13: [U, A]}
+    talks = {0: [S, U, A], 1: [S, U, ("assistant", "b"), U, A], 2: [U, A], 3: [U, A], 4: [("user", "x"), A], 5: [U, A], 6: [U, A], 9: [(None, None), A], 10: [("", ""), A], 11: [(None, None), ("assistant", "<|im_end|>é😀")], 14: [U], 15: [U, A], 12: [U], 13: [U, A]}
     rows = [(c, k, r, t, "clash") for c, turns in talks.items() for k, (r, t) in enumerate(turns)] + [(None, 0, "user", "lost", "clash"), (6, 0, "user", "u", "clash"), (6, None, "user", "first", "clash")]
+    rows += [(14, 1, "", "b", "clash"), (14, 1, None, "a", "clash")]  # nulls count as empty in the order, too
+    talks[14] = [U, ("", "a"), ("", "b")]
     frame = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "conv_id long, turn int, role string, text string, prompt string")
     show = lambda turns: "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in turns)
     talks[6] = [("user", "first"), U, U, A]
@@ -276,6 +405,41 @@ def test_quality_rules(spark, docs):
     assert sorted(r["doc_id"] for r in keep(docs, labels).collect()) == sorted(r["doc_id"] for r in rows if r["kept"])
 
 
+def path_length(tree, row):
+    """Of one row, node by node."""
+    feature, value, left, right, path = tree
+    node = 0
+    while feature[node] >= 0:
+        node = left[node] if row[feature[node]] < value[node] else right[node]
+    return path[node]
+
+
+def test_forest_against_plain_python(spark):
+    from facetflow.llm import quality_rules as Q
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    forest, use, threshold = Q.fit(docs.union(docs.limit(20)), labels.union(labels.limit(20)))
+    assert forest is not None and 0 < threshold < 1
+    usual = lambda n: 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    want = {}
+    for r in docs.collect():
+        counts, features = Q.statistics(r["text"] or "")
+        row = [features[k] for k in use]
+        anomaly = 2 ** -(sum(path_length(t, row) for t in forest.trees) / len(forest.trees) / usual(forest.sample))
+        want[r["doc_id"]] = (anomaly, not (counts[0] < 10 or 100 * counts[4] > 20 * counts[0]) and anomaly < threshold)
+    got = {r["doc_id"]: r for r in Q.judge(docs.union(docs.limit(20)), labels.union(labels.limit(20))).collect()}
+    assert all(abs(got[i]["anomaly"] - a) < 1e-9 and got[i]["kept"] == k for i, (a, k) in want.items())
+    # The threshold, by trying all of them.
+    rng = np.random.default_rng(4)
+    scores, good = rng.integers(0, 30, 400) / 30, rng.random(400) < 0.8
+    scores[~good] += 0.3
+    found, worth = Q.calibrate(scores, good, 0.02)
+    tried = [((scores[~good] >= s).mean() - (scores[good] >= s).mean(), s) for s in np.unique(scores) if (scores[good] >= s).mean() <= 0.02]
+    assert abs(worth - max(tried)[0]) < 1e-9 and abs((scores[~good] >= found).mean() - (scores[good] >= found).mean() - worth) < 1e-9
+    assert Q.calibrate(np.zeros(10), np.ones(10, bool)) == (float("inf"), 0.0)
+
+
 def test_trained_models(spark):
     from facetflow.llm.quality_classifier import op2_quality_classifier
     from facetflow.llm.quality_rules import op10_quality_rules
@@ -285,31 +449,159 @@ def test_trained_models(spark):
     scored = op2_quality_classifier(spark, folder).collect()
     assert len(scored) == 1000 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in scored)
     held = [(labels[r["doc_id"]], r["predicted"]) for r in scored if r["held_out"] and r["doc_id"] in labels]
-    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+    assert sum(a == b for a, b in held) >= 0.95 * len(held) and all(b == 0 for a, b in held if a == 0)
     judged = {r["doc_id"]: r for r in op10_quality_rules(spark, folder).collect()}
     good = [judged[i]["kept"] for i, q in labels.items() if q == 1 and not judged[i]["base_failed"]]
     assert sum(good) >= 0.98 * len(good)
 
 
+def test_classifier_learns_from_labels_only(spark):
+    """Repeated words, marks and bars are told by learned rows; with labels turned around, so are the scores; without a table there is nothing."""
+    from facetflow.llm import quality_classifier as Q
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality").collect()
+    taught, held = ([r for r in rows if (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) == flag] for flag in (False, True))
+    y = np.array([r["quality"] for r in held])
+    for turned in (0, 1):
+        model = Q.train([r["text"] for r in taught], np.array([r["quality"] ^ turned for r in taught]))
+        scores = model.scores([r["text"] for r in held])
+        assert ((scores >= 0.5) == (y ^ turned)).mean() > 0.95
+    model.weights[:] = 0
+    assert len(set(Q.Model(model.weights, model.bias, model.prior).scores([r["text"] for r in held if r["text"].strip()]).tolist())) == 1
+    # One by one as in a batch, and whatever the words remembered; long words count all of their n-grams.
+    model = Q.train([r["text"] for r in taught], np.array([r["quality"] for r in taught]))
+    some = [r["text"] for r in held[:20]] + ["", " ", "ab" * 200, "w " * 300]
+    assert np.allclose(model.scores(some), [Q.Model(model.weights, model.bias, model.prior).scores([t])[0] for t in some])
+    assert len(Q.subwords(b"a" * 500)) == 1 + 500 + 499
+
+    def slow(text):
+        words = text.encode().split()
+        if not words:
+            return model.prior
+        import xxhash
+
+        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        every = np.concatenate([*(Q.subwords(w) for w in words), Q.pairs(h)])
+        return 1 / (1 + np.exp(-(model.weights[every].mean() + model.bias)))
+
+    assert np.allclose(model.scores(some), [slow(t) for t in some])
+    known = {r["doc_id"]: r for r in Q.classify(docs.limit(3).selectExpr("doc_id", "cast(null as string) as text"), model).collect()}
+    assert len(known) == 3 and all(r["score"] == model.prior for r in known.values())
+    one = Q.fit(docs.union(docs), labels.where("quality = 1"))
+    assert {r["predicted"] for r in Q.classify(docs.limit(5), one).collect()} == {1}
+    few = Q.fit(docs.union(docs), labels.union(labels), max_train_docs=50, max_train_bytes=20_000)
+    assert Q.classify(docs.limit(5), few).count() == 5
+
+
+def test_decoder_emits_what_the_machine_does(spark, docs, monkeypatch):
+    from facetflow.llm.bpe import StreamDecoder, Utf8Machine, read_ranks
+
+    tokens = {v: k for k, v in read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).items()}
+    byte = {v: k for k, v in tokens.items() if len(v) == 1}
+    decoder = StreamDecoder(tokens)
+    for data in ("a😀é日本".encode(), b"\xff\xc3", b"\xe2\x82", b"\xed\xa0\x80x", b"ok\xc3\xa9\xf0\x9f\x98"):
+        ids = np.array([byte[data[k : k + 1]] for k in range(len(data))])
+        for _ in range(2):  # also from remembered moves
+            out, good = decoder(ids)
+            assert out == data and good == (data.decode("utf-8", "ignore").encode() == data)
+    plain = Utf8Machine.run
+    monkeypatch.setattr(Utf8Machine, "run", classmethod(lambda cls, state, kept, data: (*plain(state, kept, data)[:2], plain(state, kept, data)[2].upper(), plain(state, kept, data)[3])))
+    assert StreamDecoder(tokens)(np.array([byte[b"a"], byte[b"b"]]))[0] == b"AB"
+
+
+def test_repeated_rows_and_odd_names(spark, docs):
+    """Rows that repeat, null ids, and columns whose names differ in case only, hold dots, or are used inside."""
+    from facetflow.llm import bpe, near_copies, packing, pii, quality_rules, simhash, substring_dedup
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    names = ["doc_id", "a.b", "TEXT", "text", "spans", "text_hash", "c0", "mark", "_may", "n_chars", "N_CHARS", "kept", "_n_words"]
+    rows = [(r["doc_id"], "x", "other", r["text"], 1, 2, 3, 4, 5, 6, 7, 8, 9) for r in docs.where("doc_id < 12 or doc_id > 79").collect()]
+    rows += rows[:4] + [(None, *r[1:]) for r in rows[:3]]
+    schema = ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string' if n in ('a.b', 'TEXT', 'text') else 'int'}" for n in names)
+    frame = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int, `a.b` int, QUALITY int")
+    n = len(rows)
+    assert pii.detect(frame).count() == bpe.encode(frame, path, public_tokenizers.PATTERN).count() == quality_rules.judge(frame, labels).count() == simhash.near_duplicates(frame).count() == n
+    assert sum(r["start"] == 0 for r in packing.pack(frame, public_tokenizers.path("byte_bpe_50k.json")).collect()) == n
+    assert substring_dedup.counted(frame).count() == n
+    import corpus_pipeline
+
+    for f in (pii.redact(frame), quality_rules.keep(frame, labels), substring_dedup.clean(frame), near_copies.first_of_groups(frame), corpus_pipeline._sized(frame)):
+        assert f.columns == names
+        got = f.collect()
+        assert got and all(tuple(r)[1:3] == ("x", "other") and tuple(r)[6] == 3 for r in got)
+    want = removed([(r[0], r[3] or "") for r in rows if r[0] is not None])
+    assert {r[0]: " ".join((r[3] or "").encode().decode().split(" ")) for r in substring_dedup.clean(frame).collect() if r[0] in (82, 84)} == {i: want[i][2] if want[i][1] else next(r[3] for r in rows if r[0] == i) for i in (82, 84)}
+
+
 def test_empty_tables(spark):
-    from facetflow.llm import bpe, embedding_dedup, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup
+    from facetflow.llm import bpe, embedding_dedup, near_copies, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup
 
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    for frame in (packing.pack(none, public_tokenizers.path("byte_bpe_50k.json")), bpe.encode(none, path, public_tokenizers.PATTERN), pii.detect(none), quality_rules.judge(none, labels), simhash.first_of_groups(none), substring_dedup.clean(none), quality_classifier.classify(none, quality_classifier.fit(none, labels)), embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
+    for frame in (packing.pack(none, public_tokenizers.path("byte_bpe_50k.json")), bpe.encode(none, path, public_tokenizers.PATTERN), pii.detect(none), quality_rules.judge(none, labels), simhash.near_duplicates(none), near_copies.first_of_groups(none), substring_dedup.clean(none), substring_dedup.counted(none), quality_classifier.classify(none, quality_classifier.fit(none, labels)), embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
         assert frame.collect() == []
 
 
+def test_pipeline_stages_against_plain_python(spark):
+    """Each stage on the output of the one before; the second one has a test of its own."""
+    import corpus_pipeline
+    from facetflow.llm import pii, quality_rules
+
+    folder = "/root/testdata/sf0.01"
+    stages = dict(corpus_pipeline.STAGES)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.union(spark.createDataFrame([(None, "null id " * 30, "en", "s", 1), (10**6, None, "en", "s", 0), (10**6 + 1, "", "en", "s", 0)], docs.schema))
+    columns = docs.columns
+    rows = lambda f: {r["doc_id"]: r["text"] for r in f.collect()}
+    before = rows(docs)
+    forest, use, threshold = quality_rules.fit(docs, labels)
+    want = {}
+    for i, t in before.items():
+        counts, features = quality_rules.statistics(t or "")
+        anomaly = forest.score(np.array([[features[k] for k in use]]))[0]
+        if counts[0] >= 10 and 100 * counts[4] <= 20 * counts[0] and anomaly < threshold:
+            want[i] = t
+    docs = stages["quality_rules"](spark, docs, folder)
+    assert docs.columns == columns and rows(docs) == want
+    docs = stages["simhash_near_dedup"](spark, docs, folder)
+    before = rows(docs)
+    assert docs.columns == columns and set(before) <= set(want) and len(before) < len(want)
+    docs = stages["substring_dedup"](spark, docs, folder)
+    known = removed([(i, t) for i, t in before.items() if i is not None])
+    want = {i: known[i][2] if i in known and known[i][1] else t for i, t in before.items()}
+    assert docs.columns == columns and rows(docs) == want and sum(n for _, n, _ in known.values()) > 0
+    docs = stages["pii"](spark, docs, folder)
+    got = rows(docs)
+    for i, t in want.items():
+        out, end = "", 0
+        for kind, start, stop, _ in pii.find(t):
+            if start >= end:
+                out += t[end:start] + f"[{kind.upper()}]"
+            end = max(end, stop)
+        assert got[i] == out + t[end:]
+    assert docs.columns == columns and any("[EMAIL]" in t for t in got.values()) and all(r["n_chars"] == len(r["text"]) for r in docs.collect())
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    of: dict = {}
+    for r in sorted(stages["packing"](spark, docs, folder).collect(), key=lambda r: r["start"]):
+        of.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert of == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in got.items()}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    columns = docs.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, folder)
-        assert docs.columns == columns
-    rows = corpus_pipeline.run(spark, folder).collect()
-    assert rows and all(len(r["ids"]) == 4 * r["length"] for r in rows)
-    assert hashlib.sha256(b"".join(bytes(r["ids"]) for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])))).hexdigest() == hashlib.sha256(b"".join(bytes(r["ids"]) for r in sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda r: (r["sequence_id"], r["offset"])))).hexdigest()
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    key = lambda r: (r["doc_id"], r["start"])
+    joined = lambda f: hashlib.sha256(b"".join(bytes(r["ids"]) for r in sorted(f.collect(), key=key))).hexdigest()
+    assert joined(corpus_pipeline.run(spark, folder)) == joined(corpus_pipeline.STAGES[-1][1](spark, docs, folder))
