@@ -1,4 +1,13 @@
-"""From raw documents to packed training sequences: five stages, each on all that the one before has kept."""
+"""From raw documents to packed training sequences: five stages, each on all that the one before has kept.
+
+Null and empty texts fail the quality rules, so later stages don't see them;
+run on their own, these keep nulls as they are. Rows with a null doc_id are
+never duplicates of others. Rows that repeat doc_id and text count once from the
+second stage on. Ties in a group are decided by doc_id, then by a hash of the
+text. Columns other than doc_id, text and n_chars are kept as they are, whatever
+their names; the last stage gives pieces instead. An empty table gives an empty
+result.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetflow.llm import near_copies, packing, pii, quality_rules, substring_dedup
-from facetflow.llm.common import stash, table
+from facetflow.llm.common import replaced, stash, table, unstash
 
 
 def _sized(docs: DataFrame) -> DataFrame:
     """n_chars follows the text."""
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema.fields[docs.columns.index("n_chars")].dataType
+    return replaced(docs, "n_chars", lambda at: F.length(at("text")).cast(kind))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long passages stay in the first document that has them; elsewhere their words go."""
-    return _sized(substring_dedup.clean(docs).select(*docs.columns))
+    return _sized(substring_dedup.clean(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +53,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("substring_dedup", substrings), ("pii", personal_data), ("packing", packed)]
-#: SQL can express neither the forest nor the tokenizer; tests compare the stages with plain Python instead.
+#: SQL can express neither the forest nor the tokenizer; tests compare each stage with plain Python instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        unstash(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
