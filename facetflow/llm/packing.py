@@ -17,7 +17,9 @@ the input are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,38 @@ from .pretoken import ChunkEncoder
 SIZE, WINDOWS, CLOSING_ID = 1024, 64, 0
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ENCODERS: dict[str, ChunkEncoder] = {}
+# Fixed value: how byte-level tokenizers of this kind split a text.
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters that are letters, numbers or neither in every version of Unicode.
+_OLD = re.compile(r"[!-~\xa1-\u024f]+")
+
+
+def ranks(tokenizer) -> dict[bytes, int] | None:
+    """The tokenizer's vocabulary as ranks of byte strings, if it is plain byte-level BPE whose merges come in the order of their results' ids."""
+    data = json.loads(tokenizer.to_str())
+    model, split = data["model"], data["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or data["normalizer"]:
+        return None
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    vocab = model["vocab"]
+    merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    known = {bytes([byte[c] for c in token]): k for token, k in vocab.items() if all(c in byte for c in token)}
+    results = set(merged)
+    known = {token: k for token, k in known.items() if len(token) == 1 or k in results}
+    return known if merged == sorted(results) else None
 
 
 def json_encoder(path: str) -> ChunkEncoder:
-    """The encoder of a tokenizer file, kept by a worker from task to task."""
+    """The encoder of a tokenizer file, kept by a worker from task to task.
+
+    The library encodes what it must; words of old characters go through a faster encoder of the same vocabulary, where there is one.
+    """
     if path not in _ENCODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -48,10 +76,30 @@ def json_encoder(path: str) -> ChunkEncoder:
         def many(chunks: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for k in range(0, len(chunks), 4096) for e in tokenizer.encode_batch_fast(chunks[k : k + 4096], add_special_tokens=False)]
 
-        _ENCODERS[path] = ChunkEncoder(many, special={x.content: int(k).to_bytes(4, "little") for k, x in added.items()})
+        known = ranks(tokenizer)
+        fast = known and tiktoken.Encoding(path, pat_str=PIECES, mergeable_ranks=known, special_tokens={})
+
+        def words(lead: str, some: list[str]) -> list[bytes]:
+            old = [bool(_OLD.fullmatch(x)) for x in some] if fast else [False] * len(some)
+            others = iter(many([lead + x for x, flag in zip(some, old, strict=True) if not flag]))
+            plain = iter(_lines(fast, [lead + x for x, flag in zip(some, old, strict=True) if flag]) if fast else ())
+            return [next(plain if flag else others) for flag in old]
+
+        _ENCODERS[path] = ChunkEncoder(many, encode_words=words, special={x.content: int(k).to_bytes(4, "little") for k, x in added.items()})
     return _ENCODERS[path]
 
 
+def _lines(fast, words: list[str]) -> list[bytes]:
+    """Words as lines of one text, which is faster than one by one: a newline between words is always a piece of its own, and these hold none."""
+    newline, out = fast.encode_ordinary("\n")[0], []
+    for k in range(0, len(words), 1024):
+        ids = np.array(fast.encode_ordinary("\n".join(words[k : k + 1024])), "<u4")
+        ends = np.r_[np.flatnonzero(ids == newline), len(ids)]
+        data, starts = ids.tobytes(), np.r_[0, ends[:-1] + 1]
+        out += [data[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return out
+
+
 class Packer:
     """Emits (key, start, ids, tokens of the document, sequence, offset) in `out`; ids are bytes, four a token."""
 

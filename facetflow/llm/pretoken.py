@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
 
 #: re counts more characters as white space than the pattern does, so cuts made by it are always allowed.
 _SINGLE = re.compile(r"(?<=\S)(?= \S)")
@@ -21,29 +20,45 @@ _SINGLE = re.compile(r"(?<=\S)(?= \S)")
 _LONGEST = 48
 
 
+class _Memo(dict):
+    """Numbers of chunks, in the order they were met; ids of those known so far by number, None for chunks that need a look at their white space."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+        self.ids: list[bytes | None] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.fresh.append(chunk)
+        self[chunk] = len(self)
+        return len(self) - 1
+
+
 class ChunkEncoder:
     """encode_many: the ids of each of some chunks, as little-endian unsigned 32-bit integers.
 
+    encode_words(lead, words): the same for words without white space at their ends, each behind `lead`.
     special: the ids of strings that stand for one token wherever they occur.
     The memo holds at most about `limit` chunks and starts afresh beyond; results never depend on it.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 600_000, special: dict[str, bytes] | None = None):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 600_000, special: dict[str, bytes] | None = None, encode_words: Callable[[str, list[str]], list[bytes]] | None = None):
         self.encode_many, self.limit, self.special = encode_many, limit, special or {}
+        self.encode_words = encode_words or (lambda lead, words: encode_many([lead + x for x in words]))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.newline = encode_many(["\n"])[0]
         self._clear()
 
     def _clear(self) -> None:
-        self.inner: dict[str, bytes | None] = {}  # of chunks behind a space, named without it; None: white space at an end
-        self.first: dict[str, bytes | None] = {}  # of chunks at the start of a line
-        self.whole: dict[str, bytes | None] = {}  # of chunks of texts with other white space
+        self.inner = _Memo()  # of chunks behind a space, named without it
+        self.first = _Memo()  # of chunks at the start of a line
+        self.whole: dict[str, bytes] = {}  # of chunks of texts with other white space
 
-    def _learn(self, memo: dict, wanted: set[str], lead: str) -> None:
-        if new := wanted.difference(memo):
-            good = [x for x in new if x and not x[0].isspace() and not x[-1].isspace() and len(x) <= _LONGEST]
-            memo.update(dict.fromkeys(new))
-            memo.update(zip(good, self.encode_many([lead + x for x in good]), strict=True))
+    def _learn(self, memo: _Memo, lead: str) -> None:
+        new, memo.fresh = memo.fresh, []
+        good = [x for x in new if x and not x[0].isspace() and not x[-1].isspace() and len(x) <= _LONGEST]
+        memo.ids += [None] * len(new)
+        for x, ids in zip(good, self.encode_words(lead, good), strict=True):
+            memo.ids[memo[x]] = ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not any(s in t for s in self.special for t in texts):
@@ -55,13 +70,17 @@ class ChunkEncoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) + len(self.first) + len(self.whole) > self.limit:
             self._clear()
-        cut = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        self._learn(self.first, {line[0] for lines in cut for line in lines}, "")
-        self._learn(self.inner, set(chain.from_iterable(line[1:] for lines in cut for line in lines)), " ")
-        first, inner, out = self.first.__getitem__, self.inner.__getitem__, []
-        for text, lines in zip(texts, cut, strict=True):
+        first, inner = self.first.__getitem__, self.inner.__getitem__
+        numbers = []
+        for text in texts:
+            lines = [line.split(" ") for line in text.split("\n")]
+            numbers.append([(first(line[0]), list(map(inner, line[1:]))) for line in lines])
+        self._learn(self.first, "")
+        self._learn(self.inner, " ")
+        first, inner, out = self.first.ids, self.inner.ids.__getitem__, []
+        for text, lines in zip(texts, numbers, strict=True):
             try:
-                out.append(self.newline.join([first(line[0]) + b"".join(map(inner, line[1:])) for line in lines]))
+                out.append(self.newline.join([first[k] + b"".join(map(inner, rest)) for k, rest in lines]))
             except TypeError:
                 out.append(self._general(text))
         return out
