@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at a time, beyond one row.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 #: A key is hot if its rows are more than one in a thousand and, in large tables, more than HOT_ROWS; of hot keys there are never more than MOST_HOT_KEYS, which bounds their broadcast.
 HOT_ROWS, MOST_HOT_KEYS = 50_000, 200_000
 #: Bits of the filter in may_occur().

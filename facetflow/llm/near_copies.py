@@ -65,7 +65,7 @@ def _marks(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, tuple] = {}  # exact copies in one task
         for batch in slices(batches, "text"):
-            if len(memo) > 20_000:
+            if len(memo) > 4000:
                 memo.clear()
             digests, fps, keys = [], [], []
             for text in batch.column("text").to_pylist():
