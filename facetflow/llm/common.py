@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,17 @@ def unstash(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._stash_path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep on the executors' disks what is read more than once. Lineage stays, so what a lost executor held is computed again; rows must not depend on the order of a shuffle. Not for what reads several such tables: plans that nest them grow."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def release(*tables: DataFrame) -> None:
+    """Drop what hold() keeps, once all that reads it is written."""
+    for df in tables:
+        df.unpersist()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import picked, salted_join, stash, table, unstash
+from .common import hold, picked, release, salted_join, stash, table, unstash
 from .components import components, local_stars
 
 THRESHOLD, RECALL = 0.95, 0.999
@@ -198,7 +198,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
             yield pa.record_batch([batch.column("vec_id"), pa.array(key, pa.binary()), pa.array(size.astype(np.int32)), pa.array(raw, pa.binary())], names=["vec_id", "key", "n", "raw"])
 
     good = F.coalesce(v.isNotNull() & finite, F.lit(False))
-    marks = stash(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, v).alias("v")).mapInArrow(pack, "vec_id long, key binary, n int, raw binary"), "marks")
+    marks = hold(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, v).alias("v")).mapInArrow(pack, "vec_id long, key binary, n int, raw binary"))
     alone = marks.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     distinct = stash(marks.where("key is not null").groupBy("key", "n", "raw").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vectors")
 
@@ -219,7 +219,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
                 cells = m.cells(matrix(part.column("raw"))) if m else np.zeros(part.num_rows, np.int64)
                 yield pa.record_batch([part.column("n"), pa.array(cells)], names=["n", "cell"])
 
-    blocks = stash(distinct.select("n", "raw").mapInArrow(home, "n int, cell long").groupBy("n", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "blocks")
+    blocks = hold(distinct.select("n", "raw").mapInArrow(home, "n int, cell long").groupBy("n", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector to its own cell, as a resident, and as a query to this one and to those that it visits of higher numbers."""
@@ -289,12 +289,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("other is not null"), "node", "other")
     of_node = distinct.select("key", "node", "least", F.col("copies").alias("c")).join(links, "node", "left").join(joined, "node", "left")
-    of_node = stash(of_node.select("key", "least", "c", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "nodes")
+    of_node = hold(of_node.select("key", "least", "c", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
     names = of_node.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
     named = salted_join(of_node.select("component", "key", "n_links", F.col("c").alias("copies")), names, ["component"], of_node.count()).select("key", "n_links", "component_id", F.col("copies").alias("c"))
     linked = salted_join(marks.where("key is not null").select("key", "vec_id"), named, ["key"], marks.count()).select("vec_id", "n_links", "component_id")
     result = stash(linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "result")
-    unstash(marks, distinct, blocks, found, of_node)
+    release(marks, blocks, of_node)
+    unstash(distinct, found)
     return result
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import may_occur, numbered, picked, salted_join, slices, stash, unstash
+from .common import hold, may_occur, numbered, picked, release, salted_join, slices, stash, unstash
 from .components import components, local_stars
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -135,17 +135,17 @@ def _to_leaders(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _across_clusters(members: DataFrame, clusters: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between texts of members(key, node) that share a key and are in different clusters."""
-    placed = stash(members.select("key", "node").join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("cluster")), "placed")
+    placed = hold(members.select("key", "node").join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("cluster")))
     sizes = placed.groupBy("key", "cluster").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("of"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("clusters"), F.sum("n").alias("c"), F.sum("of").alias("of"), F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("largest")).where("clusters > 1")
     # Bands of the same texts are compared once.
     keys = mixed.groupBy("c", "of").agg(F.min("key").alias("key"), F.min_by("largest", "key").alias("largest"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    asked = stash(salted_join(placed, keys.select("key", "largest", F.col("c").alias("n"), "c"), ["key"], placed.count()), "asked")
+    asked = hold(salted_join(placed, keys.select("key", "largest", F.col("c").alias("n"), "c"), ["key"], placed.count()))
     residents = asked.select(F.col("key").alias("grp"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("part"), F.lit(0).alias("role"), "node", "cluster")
     queries = asked.where("cluster <> largest").select(F.col("key").alias("grp"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"), F.lit(1).alias("role"), "node", "cluster")
     found = stash(_compare(residents.unionByName(queries).join(texts, "node")), "across")
-    unstash(placed, asked)
+    release(placed, asked)
     return found
 
 
@@ -153,30 +153,31 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, mark (xxhash64 of text), first: doc_id and mark of the least row of the component; rows with a null doc_id are left out."""
     chosen = picked(docs, "doc_id", "text").where("doc_id is not null")
     rows = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    marks = stash(_marks(rows), "marks")
+    marks = hold(_marks(rows))
     distinct = marks.groupBy("words").agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.count("*").alias("c"))
     distinct = stash(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     keyed = distinct.select(F.explode("bands").alias("key"), "node")
-    leaders = stash(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1"), "leaders")
+    leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1")
     members = stash(salted_join(keyed, leaders, ["key"], BANDS * distinct.count()), "members")
     # Of each text, the leader that it shares most bands with; and what operator 9 links.
     usual = members.where("leader <> node").groupBy("node", "leader").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
     known = distinct.where("fp is not null").groupBy("fp").agg(F.min("node").alias("node"))
     same = distinct.where("fp is not null").join(known.select("fp", F.col("node").alias("leader")), "fp").where("node <> leader").select("leader", "node")
     golay = simhash.links(known).select(F.least("a", "b").alias("leader"), F.greatest("a", "b").alias("node"))
-    pairs = stash(usual.select("leader", "node").unionByName(same).unionByName(golay).distinct(), "pairs")
+    pairs = hold(usual.select("leader", "node").unionByName(same).unionByName(golay).distinct())
     wanted = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).unionByName(members.select("node")).distinct()
-    at = stash(distinct.join(wanted, "node").select("row.doc_id", "row.mark", "node"), "candidates")
+    at = hold(distinct.join(wanted, "node").select("row.doc_id", "row.mark", "node"))
     texts = stash(may_occur(rows, ["doc_id", "mark"], at).where("_may").join(at, ["doc_id", "mark"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    near = stash(_to_leaders(pairs, texts), "near")
-    clusters = stash(components(near, "a", "b"), "clusters")
+    near = hold(_to_leaders(pairs, texts))
+    clusters = components(near, "a", "b")
     across = _across_clusters(members, clusters, texts)
     joined = components(near.unionByName(across), "a", "b")
-    rooted = stash(distinct.join(joined, "node", "left").select("words", "row", "c", F.coalesce("component", "node").alias("root")), "rooted")
+    rooted = hold(distinct.join(joined, "node", "left").select("words", "row", "c", F.coalesce("component", "node").alias("root")))
     first = rooted.groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("c"))
     of_words = salted_join(rooted.select("root", "words", F.col("c").alias("copies")), first, ["root"], rooted.count()).select("words", "first", F.col("copies").alias("c"))
     result = stash(salted_join(marks.select("words", "doc_id", "mark"), of_words, ["words"], marks.count()).select("doc_id", "mark", "first"), "first")
-    unstash(marks, distinct, leaders, members, pairs, at, texts, near, clusters, across, rooted)
+    release(marks, pairs, at, near, rooted)
+    unstash(distinct, members, texts, across)
     return result
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_text, salted_join, slices, stash, table, unstash
+from .common import doc_text, hold, release, salted_join, slices, stash, table
 from .components import components, local_stars
 
 SHINGLE, SEED = 3, 42
@@ -238,14 +238,14 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fp, component_id: the least doc_id reachable over links."""
-    fps = stash(fingerprints(docs, shingle), "fingerprints")
+    fps = hold(fingerprints(docs, shingle))
     known = fps.where("doc_id is not null")
-    distinct = stash(known.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")), "distinct")
+    distinct = hold(known.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")))
     joined = components(links(distinct, bucket), "a", "b")
     of_fp = distinct.join(joined, "node", "left").select("fp", "c", F.coalesce("component", "node").alias("component_id"))
     found = salted_join(known, of_fp, ["fp"], fps.count()).select("doc_id", "fp", "component_id")
     result = stash(found.unionByName(fps.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long"))), "components")
-    unstash(fps, distinct)
+    release(fps, distinct)
     return result
 
 

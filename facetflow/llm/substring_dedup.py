@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hot_limit, may_occur, numbered, picked, salted_join, slices, stash, table, unstash
+from .common import hold, hot_limit, may_occur, numbered, picked, release, salted_join, slices, stash, table, unstash
 from .kmers import mix, sliding_min, window_hashes, word_hashes
 
 WINDOW, ANCHOR = 50, 25
@@ -118,19 +118,19 @@ def _windows(texts: DataFrame, sources: DataFrame, window: int, anchor: int, see
                 names=["m", "path", *PLACE, "at", "place", "w"],
             )
 
-    starts = stash(sources.groupBy(*PLACE).agg(F.collect_list("start").alias("starts")), "starts")  # of a document, its own paths
+    starts = hold(sources.groupBy(*PLACE).agg(F.collect_list("start").alias("starts")))  # of a document, its own paths
     opened = stash(_at(texts, starts).select(*PLACE, "text", "starts").mapInArrow(run, "m long, path long, doc_id long, text_hash long, at int, place int, w long"), "windows")
-    unstash(starts)
+    release(starts)
     return opened
 
 
 def _marks(texts: DataFrame, window: int, anchor: int, seed: int) -> DataFrame:
     """doc_id, text_hash -> marks: runs of windows (start, n) and where they occur in a lesser document (doc, hash, at), by their hashes."""
-    paths = stash(_whole_paths(texts, window, anchor, seed), "paths")
-    held = stash(paths.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).where("low < high").select("m", "c"), "minimizers")
+    paths = hold(_whole_paths(texts, window, anchor, seed))
+    held = paths.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).where("low < high").select("m", "c")
     found = stash(salted_join(paths, held, ["m"], paths.count()), "found")
     total = found.count()
-    sources = stash(found.groupBy("m", "path").agg(F.min(F.struct(*PLACE, "start")).alias("source"), F.count("*").alias("c")), "sources")
+    sources = hold(found.groupBy("m", "path").agg(F.min(F.struct(*PLACE, "start")).alias("source"), F.count("*").alias("c")))
     branching = sources.groupBy("m").agg(F.count("*").alias("c")).where("c > 1")
     several = salted_join(sources.select("m", "source"), branching, ["m"], sources.count())
     opened = _windows(texts, several.select("source.*"), window, anchor, seed)
@@ -143,7 +143,8 @@ def _marks(texts: DataFrame, window: int, anchor: int, seed: int) -> DataFrame:
     single = F.transform(F.filter("lower", lambda x: x["low"]["doc_id"] < F.col("doc_id")), lambda x: mark(F.col("start") + x["place"], F.lit(1), x["low"], "at"))
     each = F.when(F.col("source.doc_id") < F.col("doc_id"), F.array(mark(F.col("start"), F.col("n"), F.col("source"), "start"))).otherwise(single)
     marks = stash(hits.select(*PLACE, F.explode(each).alias("mark")).groupBy(*PLACE).agg(F.collect_set("mark").alias("marks")), "marks")
-    unstash(paths, held, found, sources, opened)
+    release(paths, sources)
+    unstash(found, opened)
     return marks
 
 
@@ -215,9 +216,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     texts = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     for seed in count():
         marks = _marks(texts, window, anchor, seed)
-        spans = stash(_spans(texts, marks, window), "spans")
+        spans = hold(_spans(texts, marks, window))
         verified = stash(_verified(texts, spans), "verified")
-        unstash(marks, spans)
+        release(spans)
+        unstash(marks)
         if not verified.where("not same").limit(1).count():
             return verified.groupBy(*PLACE).agg(F.collect_set(F.struct("start", "length")).alias("spans"))
         unstash(verified)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, picked, salted_join, shared_dir, slices, stash, table, unstash
+from .common import delete, hold, picked, release, salted_join, shared_dir, slices, table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -178,13 +178,13 @@ def _headers(spark: SparkSession, path: str) -> DataFrame:
 
 def resolve(spark: SparkSession, source: str, target: str, min_payload: int = 0, records_a_file: int = RECORDS_A_FILE) -> None:
     """Archives in source -> deduplicated archives in target."""
-    headers = stash(_headers(spark, source), "headers")
+    headers = hold(_headers(spark, source))
     able = headers.where(F.col("payload_bytes") >= min_payload)
     # Copies of one payload are aggregated before the shuffle; only digests that occur more than once go on.
-    originals = stash(able.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("original"), F.count("*").alias("c")).where("c > 1"), "originals")
+    originals = able.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("original"), F.count("*").alias("c")).where("c > 1")
     joined = salted_join(able.select("payload_digest", "path", "place", "page_id"), originals, ["payload_digest"], headers.count())
     revisits = joined.where("not page_id <=> original.page_id").groupBy("path").agg(F.collect_list(F.struct("place", F.col("original.page_id").alias("page_id"), F.col("original.url").alias("url"))).alias("revisits"))
-    lists = stash(revisits, "revisits")  # at most records_a_file in each
+    lists = hold(revisits)  # at most records_a_file in each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +194,7 @@ def resolve(spark: SparkSession, source: str, target: str, min_payload: int = 0,
                 yield from _in_batches(rows, ["value"], [pa.string()], lambda r: len(r[0]))
 
     _write(_archives(spark, source).join(lists, "path", "left").select("content", "revisits").mapInArrow(run, "value string"), target, records_a_file)
-    unstash(headers, originals, lists)
+    release(headers, lists)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
