@@ -127,18 +127,17 @@ def _windows(texts: DataFrame, sources: DataFrame, window: int, anchor: int, see
 def _marks(texts: DataFrame, window: int, anchor: int, seed: int) -> DataFrame:
     """doc_id, text_hash -> marks: runs of windows (start, n) and where they occur in a lesser document (doc, hash, at), by their hashes."""
     paths = hold(_whole_paths(texts, window, anchor, seed))
-    held = paths.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).where("low < high").select("m", "c")
+    held = paths.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).where("low < high").select("m", "c", F.col("c").alias("of_m"))
     found = stash(salted_join(paths, held, ["m"], paths.count()), "found")
     total = found.count()
-    sources = hold(found.groupBy("m", "path").agg(F.min(F.struct(*PLACE, "start")).alias("source"), F.count("*").alias("c")))
-    branching = sources.groupBy("m").agg(F.count("*").alias("c")).where("c > 1")
-    several = salted_join(sources.select("m", "source"), branching, ["m"], sources.count())
+    sources = hold(found.groupBy("m", "path").agg(F.min(F.struct(*PLACE, "start")).alias("source"), F.count("*").alias("c"), F.min("of_m").alias("of_m")))
+    several = sources.where("c < of_m")  # the minimizer has other paths, too
     opened = _windows(texts, several.select("source.*"), window, anchor, seed)
     least = opened.groupBy("m", "w").agg(F.min(F.struct(*PLACE, "at")).alias("low"), F.count("*").alias("c")).where("c > 1")
     lower = salted_join(opened.select("m", "path", "doc_id", "place", "w"), least, ["m", "w"], opened.count()).where("low.doc_id < doc_id")
     # A path has window - anchor + 1 windows at most. Places whose least document is the path's own need no row.
     shared = lower.groupBy("m", "path").agg(F.collect_set(F.struct("place", "low")).alias("lower"))
-    hits = salted_join(found, sources.join(shared, ["m", "path"], "left"), ["m", "path"], total)
+    hits = salted_join(found.drop("of_m"), sources.drop("of_m").join(shared, ["m", "path"], "left"), ["m", "path"], total)
     mark = lambda start, n, s, at: F.struct(start.alias("start"), n.alias("n"), s["doc_id"].alias("doc"), s["text_hash"].alias("hash"), s[at].alias("at"))
     single = F.transform(F.filter("lower", lambda x: x["low"]["doc_id"] < F.col("doc_id")), lambda x: mark(F.col("start") + x["place"], F.lit(1), x["low"], "at"))
     each = F.when(F.col("source.doc_id") < F.col("doc_id"), F.array(mark(F.col("start"), F.col("n"), F.col("source"), "start"))).otherwise(single)
