@@ -1,4 +1,4 @@
-"""The battery over many graphs: a row a graph, in Arrow batches; nothing is shuffled beyond what gathers a graph."""
+"""The battery over many graphs, rows of relations.graphs(), in Arrow batches; nothing is shuffled."""
 
 from __future__ import annotations
 
@@ -6,23 +6,33 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import graph
 
 REPORT = "ok boolean, failures array<string>, warnings array<string>, " + ", ".join(f"{c} int" for c in graph.COMPUTED)
 
 
-def gather(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """nodes(crop, id, degree, x, y), edges(crop, u, w), labels(crop, ring) -> a row a crop."""
-    v = nodes.groupBy("crop").agg(F.sort_array(F.collect_list(F.struct("id", "degree", "x", "y"))).alias("vertices"))
-    e = edges.groupBy("crop").agg(F.sort_array(F.collect_list(F.struct("u", "w"))).alias("edges"))
-    return v.join(e, "crop", "left").join(labels.select("crop", "ring"), "crop", "left")
+def faces(graphs: DataFrame) -> DataFrame:
+    """(crop, vertices, edges) of connected graphs that have edges and all positions -> crop, faces, outer_walk_len."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for g in batch.to_pylist():
+                walks, outer = graph.faces({v["id"]: (v["x"], v["y"]) for v in g["vertices"]}, [(e["u"], e["w"]) for e in g["edges"]])
+                rows.append({"crop": g["crop"], "faces": len(walks), "outer_walk_len": len(walks[outer])})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("crop", pa.int64()), ("faces", pa.int64()), ("outer_walk_len", pa.int64())]))
+
+    return graphs.select("crop", "vertices", "edges").mapInArrow(run, "crop long, faces long, outer_walk_len long")
 
 
 def report(graphs: DataFrame) -> DataFrame:
     """(crop, vertices, edges, ring) -> crop and the report; a graph that breaks an assumption gives a row with an ERROR failure."""
 
+    kind = graphs.schema["crop"].dataType
+    name = to_arrow_type(kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -33,7 +43,7 @@ def report(graphs: DataFrame) -> DataFrame:
                 except Exception as error:  # one bad row must not end the run
                     bad, warn, got = [f"ERROR: {error}"], [], {}
                 rows.append({"crop": g["crop"], "ok": not bad, "failures": bad, "warnings": warn} | {c: got.get(c) for c in graph.COMPUTED})
-            schema = pa.schema([("crop", pa.int64()), ("ok", pa.bool_()), ("failures", pa.list_(pa.string())), ("warnings", pa.list_(pa.string())), *((c, pa.int32()) for c in graph.COMPUTED)])
+            schema = pa.schema([("crop", name), ("ok", pa.bool_()), ("failures", pa.list_(pa.string())), ("warnings", pa.list_(pa.string())), *((c, pa.int32()) for c in graph.COMPUTED)])
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return graphs.select("crop", "vertices", "edges", "ring").mapInArrow(run, "crop long, " + REPORT)
+    return graphs.select("crop", "vertices", "edges", "ring").mapInArrow(run, f"crop {kind.simpleString()}, {REPORT}")

@@ -1,100 +1,74 @@
-"""Queries whose rows come from per-graph algorithms; SQL for those that a recursive query can express is given beside them."""
+"""Queries over reports of the whole battery, whose planarity no SQL expresses; the other layers have SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import records as R
 from ..operators import battery, graph
-from . import relational
+from ..operators import relations as ops
+from . import derived, oracles
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    for name in relational.TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return tuple(spark.sql(f"WITH {relational.EDGES} SELECT * FROM {t}") for t in ("nodes", "edges", "labels"))
+def _reports(g: DataFrame) -> DataFrame:
+    return battery.report(g)
 
 
-def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return battery.report(battery.gather(*_tables(spark, sf_dir)))
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    g = derived.graphs(spark, sf_dir)
+    return _reports(g), _reports(derived.baseline(g))
 
 
 def full_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reports(spark, sf_dir).select("crop", "ok", F.concat_ws("; ", "failures").alias("failures"), F.concat_ws("; ", "warnings").alias("warnings"), *graph.COMPUTED)
+    return _reports(derived.graphs(spark, sf_dir)).select("crop", "ok", F.concat_ws("; ", "failures").alias("failures"), F.concat_ws("; ", "warnings").alias("warnings"), *graph.COMPUTED)
 
 
 def battery_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = _reports(spark, sf_dir).select("crop", F.explode("failures").alias("failure"))
-    return tags.groupBy(F.split("failure", ":")[0].alias("tag")).agg(F.count("*").alias("n"), F.countDistinct("crop").alias("crops"))
+    return ops.failure_histogram(_reports(derived.graphs(spark, sf_dir))).select("tag", "n", "crops")
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of both runs of relational.RUNS, each from its own edges."""
-    nodes, edges, labels = _tables(spark, sf_dir)
-    base = spark.sql(f"WITH {relational.RUNS} SELECT * FROM base")
-    of = lambda run, e: battery.report(battery.gather(nodes, e, labels)).select(F.lit(run).alias("run"), "crop", "ok", "failures")
-    return of("new", edges).unionByName(of("base", base))
+def battery_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures by crop and tag, without planarity; and the ring of the outer walk."""
+    tags = _reports(derived.graphs(spark, sf_dir)).select("crop", "ring_walk", F.explode("failures").alias("f")).withColumn("tag", R.tag(F.col("f"))).where("tag <> 'NONPLANAR'")
+    return tags.groupBy("crop", "tag").agg(F.count("*").alias("n"), F.max("ring_walk").cast("long").alias("ring_walk"))
 
 
-def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda run: F.bool_and(F.when(F.col("run") == run, F.col("ok"))).alias(run)
-    return _runs(spark, sf_dir).groupBy("crop").agg(of("new"), of("base"))
+def face_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Computed values of connected graphs that have edges."""
+    return _reports(derived.graphs(spark, sf_dir)).where("faces > 0").select("crop", *(F.col(c).cast("long").alias(c) for c in ("faces", "outer_walk_len", "ring_walk")))
 
 
 def battery_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda c, name: F.count_if(c).alias(name)
-    new, base = F.col("new"), F.col("base")
-    return _passing(spark, sf_dir).agg(F.count("*").alias("crops"), count(new, "new_pass"), count(base, "base_pass"), count(new & ~base, "fixed"), count(~new & base, "broken"))
+    return ops.compare_batteries(*_runs(spark, sf_dir)).select("crops", "new_pass", "base_pass", "fixed", "broken")
 
 
 def battery_run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _passing(spark, sf_dir).where("new <> base").select("crop", F.when(F.col("new"), "fixed").otherwise("broken").alias("change"))
+    return ops.transitions(*_runs(spark, sf_dir)).where("change is not null").select("crop", "change")
 
 
 def battery_run_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = _runs(spark, sf_dir).select("run", F.explode("failures").alias("failure")).withColumn("tag", F.split("failure", ":")[0])
-    return tags.groupBy("tag").agg(F.count_if(F.col("run") == "new").alias("new_count"), F.count_if(F.col("run") == "base").alias("base_count"))
+    return ops.compare_histograms(*_runs(spark, sf_dir))
 
 
-def battery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SURVEY AGG-3 over the reports: crops of each kind of failure."""
-    has = lambda *tags: F.count_if(F.exists("failures", lambda f: F.split(f, ":")[0].isin(*tags)))
-    counts = {"no_nodes": has("EMPTY"), "overflow": has("DEGREE_OVERFLOW"), "out_of_range": has("RING_TOO_SMALL", "RING_TOO_LARGE"), "mismatch": has("RING_MISMATCH"), "disconnected": has("DISCONNECTED"), "nonplanar": has("NONPLANAR"), "errors": has("ERROR")}
-    reports, labels = _reports(spark, sf_dir), _tables(spark, sf_dir)[2].select("crop", "ring")
-    valid = F.count_if("ok")
-    return reports.join(labels, "crop", "left").agg(F.count("*").alias("total"), valid.alias("valid"), F.count_if(F.col("ok") & F.col("ring").isNotNull()).alias("valid_labeled"), *(c.alias(n) for n, c in counts.items()), F.round(100.0 * valid / F.count("*"), 4).alias("pct"))
-
-
-def battery_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid crops have priority 0, others 1 by their number of failures."""
-    by = Window.partitionBy("p").orderBy("bad", "crop")
-    return _reports(spark, sf_dir).select("crop", F.when(F.col("ok"), 0).otherwise(1).alias("p"), F.size("failures").alias("bad")).select("crop", F.row_number().over(by).cast("long").alias("place"), "p")
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.graphs(spark, sf_dir)
+    notes = F.concat_ws("; ", "failures")
+    return _reports(g).join(g.select("crop", "ring", F.size("vertices").alias("n_nodes")), "crop").withColumn("note", notes)
 
 
-def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reports(spark, sf_dir).select("crop", (~F.exists("failures", lambda f: f.startswith("DISCONNECTED"))).alias("connected"))
-
+def battery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.batch_summary(_reported(spark, sf_dir))
 
-CONNECTED_SQL = f"""WITH RECURSIVE {relational.EDGES}, both_ways AS (SELECT crop, u, w FROM edges UNION ALL SELECT crop, w, u FROM edges),
- reach AS (SELECT crop, 0 AS id FROM nodes WHERE id = 0 UNION SELECT r.crop, b.w FROM reach r JOIN both_ways b ON r.crop = b.crop AND r.id = b.u),
- n AS (SELECT crop, count(*) AS c FROM nodes GROUP BY crop), m AS (SELECT crop, count(*) AS c FROM reach GROUP BY crop)
- SELECT n.crop, n.c = m.c AS connected FROM n JOIN m ON n.crop = m.crop"""
 
+def battery_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.queue(_reported(spark, sf_dir)).select("crop", "place", "p")
 
-def golden_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one matching, as a fold over the sorted candidates of a graph."""
-    pairs = relational.QUERIES["golden_candidates"](spark, sf_dir)
-    start = "named_struct('pairs', cast(array() as array<struct<d2:int,gi:int,di:int>>))"
-    step = "named_struct('pairs', if(exists(acc.pairs, p -> p.gi = x.gi or p.di = x.di), acc.pairs, concat(acc.pairs, array(x))))"
-    folded = pairs.groupBy("crop").agg(F.array_sort(F.collect_list(F.struct("d2", "gi", "di"))).alias("c")).select("crop", F.expr(f"aggregate(c, {start}, (acc, x) -> {step}).pairs").alias("p"))
-    return folded.select("crop", F.explode("p").alias("p")).select("crop", "p.gi", "p.di", "p.d2")
 
+def face_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.graphs(spark, sf_dir).where(F.size("edges") > 0)
+    return battery.faces(g.join(ops.connected(g).where("connected"), "crop", "left_semi")).select("crop", "faces")
 
-GOLDEN_MATCH_SQL = f"""WITH RECURSIVE {relational.GOLDEN}, c AS (SELECT g.crop, g.id AS gi, n.id AS di, (gx-n.x)*(gx-n.x) + (gy-n.y)*(gy-n.y) AS d2 FROM golden g JOIN nodes n ON g.crop = n.crop WHERE (gx-n.x)*(gx-n.x) + (gy-n.y)*(gy-n.y) <= 625),
- o AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY d2, gi, di) AS k FROM c),
- f AS (SELECT crop, CAST(0 AS BIGINT) AS k, [] :: INT[] AS gs, [] :: INT[] AS ds, CAST(NULL AS INT) AS gi, CAST(NULL AS INT) AS di, CAST(NULL AS INT) AS d2, false AS taken FROM (SELECT DISTINCT crop FROM c)
-  UNION ALL SELECT o.crop, o.k, CASE WHEN list_contains(gs, o.gi) OR list_contains(ds, o.di) THEN gs ELSE list_append(gs, o.gi) END, CASE WHEN list_contains(gs, o.gi) OR list_contains(ds, o.di) THEN ds ELSE list_append(ds, o.di) END, o.gi, o.di, o.d2, NOT (list_contains(gs, o.gi) OR list_contains(ds, o.di)) FROM f JOIN o ON f.crop = o.crop AND o.k = f.k + 1)
- SELECT crop, gi, di, d2 FROM f WHERE taken"""
 
-QUERIES = {f.__name__: f for f in (full_battery, battery_histogram, battery_run_summary, battery_run_changes, battery_run_histogram, battery_summary, battery_queue, connected, golden_match)}
-ORACLE_SQL = {"connected": CONNECTED_SQL, "golden_match": GOLDEN_MATCH_SQL}
+QUERIES = {f.__name__: f for f in (full_battery, battery_histogram, battery_layers, face_walks, battery_run_summary, battery_run_changes, battery_run_histogram, battery_summary, battery_queue, face_counts)}
+ORACLE_SQL = {"face_counts": oracles.FACE_COUNTS_SQL, "battery_layers": oracles.LAYERS_SQL, "face_walks": oracles.FACE_WALKS_SQL}

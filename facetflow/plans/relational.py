@@ -1,117 +1,250 @@
-"""Relational queries of the engine, over graphs derived from the order tables.
-
-An order is a graph, its lines are the vertices, and near pairs are edges; all
-by whole numbers, so any SQL engine derives the same. Each query is one SQL
-text; DIV stands for whole-number division. All joins have the graph's id as
-equality key, so they shuffle on it once and adaptive execution splits skew.
-"""
+"""Queries of the relational operators over the derived graphs; their SQL, for another engine, is in oracles.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import records as R
+from ..operators import relations as ops
+from ..sources import records as sources
+from . import derived, oracles
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def of_graphs(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    """A query that reads nothing but the graphs."""
+    QUERIES[name] = lambda spark, sf_dir: f(derived.graphs(spark, sf_dir))
+
+
+of_graphs("implied_ring", lambda g: ops.sums(g).select("crop", "n_v", "n_e", "sum_d", "e_att", "implied_ring", F.coalesce("ring", F.lit(-1)).alias("labeled_ring"), ops.in_range(F.col("implied_ring")).alias("in_range")))
+of_graphs("ring_summary", lambda g: ops.sums(g).groupBy("implied_ring").agg(F.count("*").alias("crops"), F.sum("n_v").alias("vertices")))
+of_graphs("identity_check", lambda g: ops.identity(ops.sums(g)))
+of_graphs("attachment_legacy", lambda g: ops.sums(g).where(ops.in_range(F.col("implied_ring"))).select("crop", (F.col("e_att") + F.col("implied_ring")).alias("e_attachment")))
+of_graphs("ring_label_check", lambda g: ops.ring_label_check(ops.sums(g)))
+of_graphs("internal_degree", lambda g: ops.internal_degree(g).select("crop", "id", F.col("inner").alias("deg_int")))
+of_graphs("degree_overflow", lambda g: ops.internal_degree(g).where("inner > degree").select("crop", "id", F.col("inner").alias("deg_int"), "degree"))
+of_graphs("degree_check", lambda g: ops.attachment(g).select("crop", "ok"))
+of_graphs("attachment", lambda g: ops.attachment(g).select("crop", "total", "least"))
+of_graphs("crossing_edges", ops.crossing_edges)
+of_graphs("crossing_count_per_crop", lambda g: ops.crossing_edges(g).groupBy("crop").agg(F.count("*").alias("crossings")))
+of_graphs("pair_candidates", ops.pair_candidates)
+of_graphs("occluded_pairs", ops.occluded)
+of_graphs("rotation_system", ops.rotation)
+of_graphs("outer_vertex", ops.outer_vertex)
+of_graphs("signed_area", ops.signed_area)
+of_graphs("connected", ops.connected)
+
+
+@query
+def shape_degree_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = ops.vertices(derived.graphs(spark, sf_dir)).withColumn("degree", F.col("degree") + F.when(F.col("id") % 5 == 4, 1).otherwise(0))
+    return odd.groupBy("shape").agg(F.count("*").alias("n"), F.count_if(R.shape_agrees(F.col("shape"), F.col("degree"))).alias("consistent"))
+
+
+@query
+def structural_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some graphs with an edge twice, a loop, an edge to nowhere, or degrees that are too small."""
+    c = F.col("crop")
+    first = F.filter("edges", lambda e: e["u"] == 0)
+    none = F.array().cast("array<struct<u:int,w:int>>")
+    more = [F.when(c % 97 == 0, first).otherwise(none), F.when(c % 101 == 0, F.transform("edges", lambda e: F.struct(e["u"].alias("u"), e["u"].alias("w")))).otherwise(none), F.when(c % 89 == 0, F.transform(first, lambda e: F.struct(e["u"].alias("u"), (e["w"] + 100).alias("w")))).otherwise(none)]
+    fields = [f for f in ops.VERTEX if f != "degree"]
+    lower = F.transform("vertices", lambda v: F.struct(*[v[f].alias(f) for f in fields], (v["degree"] - F.when(c % 103 == 0, 4).otherwise(0)).alias("degree")))
+    return ops.structural_failures(derived.graphs(spark, sf_dir).select("crop", lower.alias("vertices"), F.concat("edges", *more).alias("edges")))
+
+
+@query
+def proximity_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = ops.vertices(derived.graphs(spark, sf_dir))
+    return ops.not_near(v.where("shape in ('square', 'triangle')"), v.where("shape in ('solid_dot', 'open_circle')")).select("crop", "id")
+
+
+@query
+def spaced_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.spaced(ops.vertices(derived.graphs(spark, sf_dir)), 90).select("crop", "id")
+
+
+@query
+def bridge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.bridges(ops.vertices(derived.graphs(spark, sf_dir)).withColumn("owner", (F.col("id") % 3).cast("int")))
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_custkey")
+    return derived.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("crop"), (k * 31 % 397).cast("int").alias("px"), (k * 17 % 389).cast("int").alias("py")).distinct()
+
+
+@query
+def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.node_at(derived.graphs(spark, sf_dir), _probes(spark, sf_dir))
+
+
+@query
+def edge_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.edge_at(derived.graphs(spark, sf_dir), _probes(spark, sf_dir))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both runs by the checks that columns can express; the whole battery is in graphs.py."""
+    g = derived.graphs(spark, sf_dir)
+    return ops.checks(g), ops.checks(derived.baseline(g))
+
+
+@query
+def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, base = _runs(spark, sf_dir)
+    return ops.failure_histogram(new).withColumn("run", F.lit("new")).unionByName(ops.failure_histogram(base).withColumn("run", F.lit("base"))).select("run", "tag", "n")
+
+
+@query
+def failure_tag_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, base = _runs(spark, sf_dir)
+    return ops.failure_histogram(new).withColumn("run", F.lit("new")).unionByName(ops.failure_histogram(base).withColumn("run", F.lit("base"))).select("run", "tag", "crops")
+
+
+@query
+def run_histogram_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.compare_histograms(*_runs(spark, sf_dir))
+
+
+@query
+def run_compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.compare_batteries(*_runs(spark, sf_dir)).select("crops", "new_pass", "base_pass", "fixed", "broken")
+
+
+@query
+def run_fixed_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.transitions(*_runs(spark, sf_dir)).where("change is not null").select("crop", "change")
+
+
+@query
+def edge_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.graphs(spark, sf_dir)
+    return ops.edge_difference(ops.edges(g), ops.edges(derived.baseline(g)))
+
+
+@query
+def edge_set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.graphs(spark, sf_dir)
+    return ops.edges(g).intersect(ops.edges(derived.baseline(g))).groupBy("crop").agg(F.count("*").alias("n"))
+
+
+@query
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.batch_summary(_runs(spark, sf_dir)[0])
+
+
+@query
+def triage_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some passes ask to be verified."""
+    note = F.when(F.col("ok") & (F.col("crop") % 3 == 0), F.concat("note", F.lit(f" ({R.VERIFY})"))).otherwise(F.col("note"))
+    return ops.queue(_runs(spark, sf_dir)[0].withColumn("note", note)).select("crop", "place", "p")
+
+
+@query
+def golden_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.graphs(spark, sf_dir)
+    return ops.golden_pairs(derived.golden(g), g).select("crop", F.inline("candidates")).select("crop", "gi", "di", "d2")
+
+
+@query
+def golden_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = derived.graphs(spark, sf_dir)
+    return ops.match_nodes(derived.golden(g), g)
+
+
+@query
+def golden_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden graphs have all edges, the run lacks some; a few golden crops are not in the run."""
+    g = derived.graphs(spark, sf_dir)
+    gold = derived.golden(g)
+    return ops.score_golden(gold.unionByName(gold.where("crop % 50 = 0").withColumn("crop", -F.col("crop") - 1)), derived.baseline(g))
+
+
+@query
+def label_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = derived.table(spark, sf_dir, "orders")
+    new = orders.where("o_orderkey % 4 = 0").selectExpr("o_orderkey as crop", "cast(5 + o_orderkey % 11 as int) as ring")
+    return ops.merge_labels(orders.where("o_orderkey % 6 = 0").selectExpr("o_orderkey as crop", "cast(5 + o_custkey % 10 as int) as ring"), new)
+
+
+@query
+def annotation_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = derived.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("crop"), F.when(F.col("o_orderkey") % 5 == 0, "D").alias("reducibility"))
+    return ops.enrich(some, derived.slots(spark, sf_dir))
+
+
+@query
+def census_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.census_progress(derived.labels(spark, sf_dir), sources.constants(spark)["census"])
+
+
+@query
+def index_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.ranked(derived.slots(spark, sf_dir).where("crop % 7 <> 0"), "figure", "position", "crop").select("crop", "place", "letter")
+
+
+@query
+def index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, position = F.col("crop"), F.col("position")
+    seen = F.when(k % 4 == 0, None).when(k % 9 == 0, position + 1).otherwise(position)
+    rows = derived.slots(spark, sf_dir).select((k % 11 == 0).alias("missing"), seen.alias("seen"), "position", "letter")
+    return rows.agg(F.count("*").alias("occupied"), F.count_if("missing").alias("missing"), F.count("seen").alias("checked"), F.count_if(F.col("seen") != position).alias("disagree"), F.count("letter").alias("letters"))
+
+
+@query
+def slot_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centre = 2 * F.col("x") + F.col("w")
+    return derived.boxes(spark, sf_dir).select("id", ops.nearest_centre(centre, [2 * (300 + 600 * k) for k in range(5)]).alias("col"))
+
+
+@query
+def box_filter_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.reading_order(derived.boxes(spark, sf_dir).where(ops.good_box(*map(F.col, ("x", "y", "w", "h"))))).select("page", "id", "place")
+
+
+@query
+def crop_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.boxes(spark, sf_dir).select("id", *ops.padded(*map(F.col, ("x", "y", "w", "h")), 3000, 4000))
+
+
+def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.pruned(derived.graphs(spark, sf_dir), lambda v: v["id"] % 4 == 3)
+
+
+@query
+def pruned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.vertices(_pruned(spark, sf_dir)).select("crop", F.col("old").alias("id"), F.col("id").alias("new_id"))
+
+
+@query
+def pruned_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.edges(_pruned(spark, sf_dir))
+
+
+@query
+def ladder_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ops.sums(derived.graphs(spark, sf_dir))
+    tries = F.array(*[F.struct(F.lit(k).alias("attempt"), ops.in_range(F.col("implied_ring") + more).alias("ok")) for k, more in enumerate((0, -3, 3))])
+    return ops.first_passing(s.select("crop", F.inline(tries)))
+
+
+@query
+def detection_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections as canonical records, by the columns that readers use."""
+    node = lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["radius"].alias("radius"), v["shape"].alias("shape"), v["degree"].alias("degree"), F.lit(False).alias("recovered"))
+    name = F.concat(F.lit("page"), F.lpad((F.col("crop") % 1000).cast("string"), 3, "0"), F.lit("_cell"), F.col("crop").cast("string"), F.lit(".png"))
+    det = derived.graphs(spark, sf_dir).select(name.alias("crop"), F.lit(1).alias("page"), F.transform("vertices", node).alias("nodes"), F.transform("edges", lambda e: F.struct(e["u"].alias("from"), e["w"].alias("to"))).alias("edges"), F.lit(None).cast("boolean").alias("human_corrected"))
+    return det.select(*R.canonical()).select(F.col("id").alias("config"), F.inline("vertices")).select("config", "id", "degree", F.get("pos", F.lit(0)).alias("px"), F.get("pos", F.lit(1)).alias("py"), "shape")
+
 
-# Shapes and their degrees, bounds of the ring, distances in pixels.
-NODES = """nodes AS (SELECT l_orderkey AS crop,
-  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS id,
-  CAST((l_partkey * 37) % 397 AS INT) AS x, CAST((l_partkey * 101 + l_suppkey * 59) % 389 AS INT) AS y,
-  CAST(5 + l_partkey % 4 AS INT) AS degree, CAST(10 + l_suppkey % 10 AS INT) AS radius,
-  CASE l_partkey % 4 WHEN 0 THEN 'solid_dot' WHEN 1 THEN 'open_circle' WHEN 2 THEN 'square' ELSE 'triangle' END AS shape FROM lineitem)"""
-EDGES = NODES + """, edges AS (SELECT a.crop, a.id AS u, b.id AS w, a.x AS ux, a.y AS uy, b.x AS wx, b.y AS wy FROM nodes a JOIN nodes b ON a.crop = b.crop AND a.id < b.id
-  WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) BETWEEN 1 AND 44100),
- labels AS (SELECT o_orderkey AS crop, CAST(5 + o_custkey % 10 AS INT) AS ring FROM orders WHERE o_orderkey % 2 = 0)"""
-SUMS = EDGES + """, v AS (SELECT crop, CAST(count(*) AS BIGINT) AS n_v, CAST(sum(degree) AS BIGINT) AS sum_d FROM nodes GROUP BY crop),
- e AS (SELECT crop, CAST(count(*) AS BIGINT) AS n_e FROM edges GROUP BY crop),
- g AS (SELECT v.crop, n_v, coalesce(n_e, 0) AS n_e, sum_d, sum_d - 2*coalesce(n_e, 0) AS e_att, sum_d - coalesce(n_e, 0) - 3*n_v + 3 AS implied_ring FROM v LEFT JOIN e ON v.crop = e.crop)"""
-INNER = SUMS + """, ends AS (SELECT crop, u AS id FROM edges UNION ALL SELECT crop, w AS id FROM edges),
- d AS (SELECT n.crop, n.id, n.degree, n.shape, n.x, n.y, CAST(count(ends.id) AS BIGINT) AS deg_int FROM nodes n LEFT JOIN ends ON n.crop = ends.crop AND n.id = ends.id GROUP BY n.crop, n.id, n.degree, n.shape, n.x, n.y)"""
-CROSS = EDGES + """, s AS (SELECT a.crop, a.u AS u1, a.w AS w1, b.u AS u2, b.w AS w2,
-  sign((a.wx-a.ux)*(b.uy-a.uy) - (a.wy-a.uy)*(b.ux-a.ux)) * sign((a.wx-a.ux)*(b.wy-a.uy) - (a.wy-a.uy)*(b.wx-a.ux)) AS p,
-  sign((b.wx-b.ux)*(a.uy-b.uy) - (b.wy-b.uy)*(a.ux-b.ux)) * sign((b.wx-b.ux)*(a.wy-b.uy) - (b.wy-b.uy)*(a.wx-b.ux)) AS q
-  FROM edges a JOIN edges b ON a.crop = b.crop AND (a.u < b.u OR (a.u = b.u AND a.w < b.w)) AND a.u <> b.u AND a.u <> b.w AND a.w <> b.u AND a.w <> b.w),
- crossing AS (SELECT crop, u1, w1, u2, w2 FROM s WHERE p < 0 AND q < 0)"""
-# Failures of two runs: the baseline lacks some edges.
-RUNS = INNER + """, base AS (SELECT crop, u, w FROM edges WHERE (u*3 + w*5 + crop) % 11 <> 0),
- be AS (SELECT crop, CAST(count(*) AS BIGINT) AS n_e FROM base GROUP BY crop),
- b AS (SELECT v.crop, sum_d - coalesce(be.n_e, 0) - 3*n_v + 3 AS r FROM v LEFT JOIN be ON v.crop = be.crop),
- fails AS (SELECT 'new' AS run, crop, CASE WHEN implied_ring > 14 THEN 'RING_TOO_LARGE' ELSE 'RING_TOO_SMALL' END AS tag, 1 AS layer FROM g WHERE implied_ring NOT BETWEEN 3 AND 14
-  UNION ALL SELECT 'new', crop, 'DEGREE_OVERFLOW', 0 FROM d WHERE deg_int > degree
-  UNION ALL SELECT 'new', g.crop, 'RING_MISMATCH', 2 FROM g JOIN labels l ON g.crop = l.crop WHERE implied_ring <> ring
-  UNION ALL SELECT 'base', crop, CASE WHEN r > 14 THEN 'RING_TOO_LARGE' ELSE 'RING_TOO_SMALL' END, 1 FROM b WHERE r NOT BETWEEN 3 AND 14
-  UNION ALL SELECT 'base', b.crop, 'RING_MISMATCH', 2 FROM b JOIN labels l ON b.crop = l.crop WHERE r <> ring),
- passing AS (SELECT g.crop, count(CASE WHEN f.run = 'new' THEN 1 END) AS new_bad, count(CASE WHEN f.run = 'base' THEN 1 END) AS base_bad FROM g LEFT JOIN fails f ON g.crop = f.crop GROUP BY g.crop)"""
-GOLDEN = NODES + """, golden AS (SELECT crop, id, x + CAST((id*7 + crop) % 31 AS INT) - 15 AS gx, y + CAST((id*11 + crop) % 29 AS INT) - 14 AS gy, shape FROM nodes WHERE crop % 10 = 0)"""
-SLOTS = """slots AS (SELECT o_orderkey AS crop, CAST(o_orderkey DIV 35 + 1 AS BIGINT) AS figure, CAST(o_orderkey % 35 + 1 AS BIGINT) AS position,
-  CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'C' ELSE 'D' END AS letter FROM orders)"""
-BOXES = """boxes AS (SELECT c_custkey AS id, CAST(c_custkey * 97 % 3000 AS INT) AS x, CAST(c_custkey * 61 % 4000 AS INT) AS y, CAST(60 + c_custkey * 13 % 900 AS INT) AS w, CAST(60 + c_custkey * 29 % 900 AS INT) AS h, CAST(c_custkey % 50 AS INT) AS page FROM customer)"""
-
-
-def _count(condition: str, name: str) -> str:
-    return f"CAST(sum(CASE WHEN {condition} THEN 1 ELSE 0 END) AS BIGINT) AS {name}"
-
-
-SQL: dict[str, str] = {
-    "implied_ring": f"WITH {SUMS} SELECT g.crop, n_v, n_e, sum_d, e_att, implied_ring, coalesce(l.ring, -1) AS labeled_ring, implied_ring BETWEEN 3 AND 14 AS in_range FROM g LEFT JOIN labels l ON g.crop = l.crop",
-    "ring_summary": f"WITH {SUMS} SELECT implied_ring, CAST(count(*) AS BIGINT) AS crops, CAST(sum(n_v) AS BIGINT) AS vertices FROM g GROUP BY implied_ring",
-    "identity_check": f"WITH {SUMS} SELECT crop, n_v + implied_ring AS v_total, n_e + e_att + implied_ring AS e_total, n_e + e_att + implied_ring = 3*(n_v + implied_ring) - implied_ring - 3 AS holds FROM g",
-    "attachment_legacy": f"WITH {SUMS} SELECT crop, e_att + implied_ring AS e_attachment FROM g WHERE implied_ring BETWEEN 3 AND 14",
-    "ring_label_check": f"WITH {SUMS} SELECT g.crop, implied_ring - ring AS ring_delta, CASE WHEN implied_ring > ring THEN 'missed' WHEN implied_ring < ring THEN 'phantom' END AS verdict FROM g JOIN labels l ON g.crop = l.crop",
-    "internal_degree": f"WITH {INNER} SELECT crop, id, deg_int FROM d",
-    "degree_overflow": f"WITH {INNER} SELECT crop, id, deg_int, degree FROM d WHERE deg_int > degree",
-    "degree_check": f"WITH {INNER} SELECT crop, bool_and(deg_int <= degree) AS ok FROM d GROUP BY crop",
-    "attachment": f"WITH {INNER} SELECT crop, CAST(sum(degree - deg_int) AS BIGINT) AS total, CAST(min(degree - deg_int) AS BIGINT) AS least FROM d GROUP BY crop",
-    "shape_degree_check": f"WITH {NODES} SELECT shape, CAST(count(*) AS BIGINT) AS n, {_count('''degree = CASE shape WHEN 'solid_dot' THEN 5 WHEN 'open_circle' THEN 6 WHEN 'square' THEN 7 ELSE 8 END''', 'consistent')} FROM nodes GROUP BY shape",
-    "structural_failures": f"""WITH {EDGES}, faulty AS (SELECT crop, u, w FROM edges UNION ALL SELECT crop, u, w FROM edges WHERE crop % 97 = 0 AND u = 0 UNION ALL SELECT crop, u, u FROM edges WHERE crop % 101 = 0 UNION ALL SELECT crop, u, w + 100 FROM edges WHERE crop % 89 = 0 AND u = 0),
-      dup AS (SELECT crop, least(u, w) AS lo, greatest(u, w) AS hi, count(*) - 1 AS n FROM faulty GROUP BY crop, least(u, w), greatest(u, w))
-      SELECT crop, 'DUPLICATE_EDGE' AS tag, CAST(sum(n) AS BIGINT) AS n FROM dup WHERE n > 0 GROUP BY crop UNION ALL SELECT crop, 'SELF_LOOP', CAST(count(*) AS BIGINT) FROM faulty WHERE u = w GROUP BY crop
-      UNION ALL SELECT f.crop, 'DANGLING_EDGE', CAST(count(*) AS BIGINT) FROM faulty f LEFT JOIN nodes n ON f.crop = n.crop AND f.w = n.id WHERE n.id IS NULL GROUP BY f.crop
-      UNION ALL SELECT crop, 'DEGREE_TOO_SMALL', CAST(count(*) AS BIGINT) FROM nodes WHERE crop % 103 = 0 AND degree - 4 < 5 GROUP BY crop""",
-    "crossing_edges": f"WITH {CROSS} SELECT crop, u1, w1, u2, w2 FROM crossing",
-    "crossing_count_per_crop": f"WITH {CROSS} SELECT crop, CAST(count(*) AS BIGINT) AS crossings FROM crossing GROUP BY crop",
-    "pair_candidates": f"WITH {NODES} SELECT a.crop, a.id AS i, b.id AS j FROM nodes a JOIN nodes b ON a.crop = b.crop AND a.id < b.id WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 44100 AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) > (a.radius + b.radius + 12) * (a.radius + b.radius + 12)",
-    "occluded_pairs": f"""WITH {EDGES} SELECT DISTINCT e.crop, e.u, e.w FROM edges e JOIN nodes k ON e.crop = k.crop AND k.id <> e.u AND k.id <> e.w
-      WHERE (k.x-e.ux)*(e.wx-e.ux) + (k.y-e.uy)*(e.wy-e.uy) > 0 AND (k.x-e.ux)*(e.wx-e.ux) + (k.y-e.uy)*(e.wy-e.uy) < (e.wx-e.ux)*(e.wx-e.ux) + (e.wy-e.uy)*(e.wy-e.uy)
-      AND CAST((e.wx-e.ux)*(k.y-e.uy) - (e.wy-e.uy)*(k.x-e.ux) AS BIGINT) * ((e.wx-e.ux)*(k.y-e.uy) - (e.wy-e.uy)*(k.x-e.ux)) < CAST(k.radius * k.radius AS BIGINT) * ((e.wx-e.ux)*(e.wx-e.ux) + (e.wy-e.uy)*(e.wy-e.uy))""",
-    "proximity_suppression": f"WITH {NODES} SELECT c.crop, c.id FROM nodes c WHERE c.shape IN ('square', 'triangle') AND NOT EXISTS (SELECT 1 FROM nodes p WHERE p.crop = c.crop AND p.shape IN ('solid_dot', 'open_circle') AND (p.x-c.x)*(p.x-c.x) + (p.y-c.y)*(p.y-c.y) < 625)",
-    "bridge_edges": f"WITH {NODES}, loose AS (SELECT crop, id, CAST(id % 3 AS INT) AS owner, x, y FROM nodes) SELECT DISTINCT a.crop, least(a.owner, b.owner) AS u, greatest(a.owner, b.owner) AS w FROM loose a JOIN loose b ON a.crop = b.crop AND a.id < b.id AND a.owner <> b.owner WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 256",
-    "hit_test": f"WITH {NODES}, probes AS (SELECT o_orderkey AS crop, CAST(o_custkey * 31 % 397 AS INT) AS px, CAST(o_custkey * 17 % 389 AS INT) AS py FROM orders), near AS (SELECT n.crop, n.id, px, py, (x-px)*(x-px) + (y-py)*(y-py) AS d2, row_number() OVER (PARTITION BY n.crop, px, py ORDER BY (x-px)*(x-px) + (y-py)*(y-py), n.id) AS k FROM nodes n JOIN probes p ON n.crop = p.crop) SELECT crop, px, py, id, d2 FROM near WHERE k = 1 AND d2 < 324",
-    "rotation_system": f"WITH {EDGES}, darts AS (SELECT crop, u, w, ux, uy, wx, wy, u*1000 + w AS seq FROM edges UNION ALL SELECT crop, w, u, wx, wy, ux, uy, u*1000 + w FROM edges) SELECT crop, u, w, CAST(row_number() OVER (PARTITION BY crop, u ORDER BY atan2(wy-uy, wx-ux), seq) AS INT) AS place FROM darts",
-    "outer_vertex": f"WITH {NODES}, o AS (SELECT crop, id, x, y, row_number() OVER (PARTITION BY crop ORDER BY x, y, id) AS k FROM nodes) SELECT crop, id, x, y FROM o WHERE k = 1",
-    "failure_histogram": f"WITH {RUNS} SELECT run, tag, CAST(count(*) AS BIGINT) AS n FROM fails GROUP BY run, tag",
-    "failure_tag_crops": f"WITH {RUNS} SELECT run, tag, CAST(count(DISTINCT crop) AS BIGINT) AS crops FROM fails GROUP BY run, tag",
-    "run_histogram_diff": f"WITH {RUNS}, n AS (SELECT tag, count(*) AS c FROM fails WHERE run = 'new' GROUP BY tag), o AS (SELECT tag, count(*) AS c FROM fails WHERE run = 'base' GROUP BY tag) SELECT coalesce(n.tag, o.tag) AS tag, CAST(coalesce(n.c, 0) AS BIGINT) AS new_count, CAST(coalesce(o.c, 0) AS BIGINT) AS base_count FROM n FULL JOIN o ON n.tag = o.tag",
-    "run_compare_summary": f"WITH {RUNS} SELECT CAST(count(*) AS BIGINT) AS crops, {_count('new_bad = 0', 'new_pass')}, {_count('base_bad = 0', 'base_pass')}, {_count('new_bad = 0 AND base_bad > 0', 'fixed')}, {_count('new_bad > 0 AND base_bad = 0', 'broken')} FROM passing",
-    "run_fixed_broken": f"WITH {RUNS} SELECT crop, CASE WHEN new_bad = 0 THEN 'fixed' ELSE 'broken' END AS change FROM passing WHERE (new_bad = 0) <> (base_bad = 0)",
-    "edge_set_difference": f"WITH {RUNS} SELECT crop, u, w FROM (SELECT crop, u, w FROM edges EXCEPT SELECT crop, u, w FROM base) t",
-    "edge_set_intersection": f"WITH {RUNS} SELECT crop, CAST(count(*) AS BIGINT) AS n FROM (SELECT crop, u, w FROM edges INTERSECT SELECT crop, u, w FROM base) t GROUP BY crop",
-    "batch_summary": f"WITH {RUNS}, f AS (SELECT g.crop, l.ring, max(CASE WHEN f.crop IS NULL THEN 1 ELSE 0 END) AS valid, max(CASE WHEN tag LIKE 'RING_TOO%' THEN 1 ELSE 0 END) AS out_of_range, max(CASE WHEN tag = 'DEGREE_OVERFLOW' THEN 1 ELSE 0 END) AS overflow, max(CASE WHEN tag = 'RING_MISMATCH' THEN 1 ELSE 0 END) AS mismatch FROM g LEFT JOIN labels l ON g.crop = l.crop LEFT JOIN (SELECT * FROM fails WHERE run = 'new') f ON g.crop = f.crop GROUP BY g.crop, l.ring) SELECT CAST(count(*) AS BIGINT) AS total, CAST(sum(valid) AS BIGINT) AS valid, {_count('valid = 1 AND ring IS NOT NULL', 'valid_labeled')}, CAST(sum(overflow) AS BIGINT) AS overflow, CAST(sum(out_of_range) AS BIGINT) AS out_of_range, CAST(sum(mismatch) AS BIGINT) AS mismatch, round(100.0 * CAST(sum(valid) AS DOUBLE) / count(*), 4) AS pct FROM f",
-    "triage_queue": f"WITH {RUNS}, q AS (SELECT crop, CASE WHEN new_bad = 0 THEN 0 ELSE 1 END AS p, new_bad FROM passing) SELECT crop, CAST(row_number() OVER (PARTITION BY p ORDER BY new_bad, crop) AS BIGINT) AS place, p FROM q",
-    "golden_candidates": f"WITH {GOLDEN} SELECT g.crop, g.id AS gi, n.id AS di, (gx-n.x)*(gx-n.x) + (gy-n.y)*(gy-n.y) AS d2 FROM golden g JOIN nodes n ON g.crop = n.crop WHERE (gx-n.x)*(gx-n.x) + (gy-n.y)*(gy-n.y) <= 625",
-    "label_merge": f"WITH {SLOTS}, new AS (SELECT crop, 5 + CAST(crop % 11 AS INT) AS ring FROM slots WHERE crop % 4 = 0), old AS (SELECT o_orderkey AS crop, 5 + CAST(o_custkey % 10 AS INT) AS ring FROM orders WHERE o_orderkey % 6 = 0) SELECT coalesce(n.crop, o.crop) AS crop, coalesce(o.ring, n.ring) AS ring, o.ring IS NOT NULL AND n.ring IS NOT NULL AND o.ring <> n.ring AS conflict FROM new n FULL JOIN old o ON n.crop = o.crop",
-    "annotation_enrich": f"WITH {SLOTS}, a AS (SELECT o_orderkey AS crop, CASE WHEN o_orderkey % 5 = 0 THEN 'D' END AS reducibility FROM orders WHERE o_orderkey % 2 = 0) SELECT a.crop, coalesce(a.reducibility, s.letter) AS reducibility, s.figure, s.position FROM a LEFT JOIN slots s ON a.crop = s.crop",
-    "census_progress": f"WITH {EDGES}, h AS (SELECT CASE WHEN ring <= 8 THEN '<=8' ELSE CAST(ring AS VARCHAR(9)) END AS bucket, count(*) AS n FROM labels GROUP BY 1), want AS (SELECT * FROM (VALUES ('<=8', 7), ('9', 8), ('10', 35), ('11', 89), ('12', 334), ('13', 701), ('14', 660)) t(bucket, expected)) SELECT w.bucket, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(expected AS BIGINT) AS expected FROM want w LEFT JOIN h ON w.bucket = h.bucket",
-    "index_rank": f"WITH {SLOTS} SELECT crop, CAST(row_number() OVER (PARTITION BY figure ORDER BY position, crop) AS BIGINT) AS place, letter FROM slots WHERE crop % 7 <> 0",
-    "index_report": f"WITH {SLOTS} SELECT CAST(count(*) AS BIGINT) AS occupied, CAST(count(letter) AS BIGINT) AS letters, {_count('position % 5 = 0', 'checked')} FROM slots",
-    "slot_assignment": f"WITH {BOXES}, c AS (SELECT k, 300 + 600*k AS cx FROM (VALUES (0), (1), (2), (3), (4)) t(k)), near AS (SELECT id, c.k AS col, row_number() OVER (PARTITION BY id ORDER BY abs(2*x + w - 2*cx), c.k) AS place FROM boxes JOIN c ON true) SELECT id, col FROM near WHERE place = 1",
-    "box_filter_reading_order": f"WITH {BOXES} SELECT page, id, CAST(row_number() OVER (PARTITION BY page ORDER BY y DIV 100, x, id) AS BIGINT) AS place FROM boxes WHERE w*h > 8000 AND w*h < 1000000 AND h >= 150 AND 5*w > 2*h AND 2*w < 5*h",
-    "crop_padding": f"WITH {BOXES} SELECT id, greatest(0, x-10) AS x0, greatest(0, y-10) AS y0, least(3000, x+w+10) AS x1, least(4000, y+h+10) AS y1 FROM boxes",
-    "pruned_nodes": f"WITH {INNER}, kept AS (SELECT crop, id FROM d WHERE id % 4 <> 3 OR deg_int >= 2) SELECT crop, id, CAST(row_number() OVER (PARTITION BY crop ORDER BY id) - 1 AS INT) AS new_id FROM kept",
-    "ladder_select": f"WITH {SUMS}, tries AS (SELECT crop, 0 AS attempt, implied_ring BETWEEN 3 AND 14 AS ok FROM g UNION ALL SELECT crop, 1, implied_ring - 3 BETWEEN 3 AND 14 FROM g UNION ALL SELECT crop, 2, implied_ring + 3 BETWEEN 3 AND 14 FROM g) SELECT crop, coalesce(min(CASE WHEN ok THEN attempt END), 0) AS attempt FROM tries GROUP BY crop",
-    "signed_area": f"WITH {NODES}, r AS (SELECT crop, x, y, coalesce(lead(x) OVER (PARTITION BY crop ORDER BY id), first_value(x) OVER (PARTITION BY crop ORDER BY id)) AS nx, coalesce(lead(y) OVER (PARTITION BY crop ORDER BY id), first_value(y) OVER (PARTITION BY crop ORDER BY id)) AS ny FROM nodes) SELECT crop, CAST(sum(x*ny - nx*y) AS BIGINT) AS doubled FROM r GROUP BY crop",
-    "detection_projection": f"WITH {NODES} SELECT 'page' || lpad(CAST(crop % 1000 AS VARCHAR(9)), 3, '0') || '_cell' || CAST(crop AS VARCHAR(20)) AS config, id, degree, CAST(x AS DOUBLE) AS px, CAST(y AS DOUBLE) AS py, shape FROM nodes",
-}
-TABLES = ("lineitem", "orders", "customer")
-
-
-def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for name in TABLES:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        return spark.sql(sql)
-
-    return run
-
-
-QUERIES = {name: _query(sql) for name, sql in SQL.items()}
-ORACLE_SQL = {name: sql.replace(" DIV ", " // ") for name, sql in SQL.items()}
+ORACLE_SQL = oracles.RELATIONAL | {"connected": oracles.CONNECTED_SQL, "golden_match": oracles.GOLDEN_MATCH_SQL}

@@ -6,7 +6,7 @@ files are read side by side. Where a file may be missing the result is empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import records as R
@@ -48,31 +48,37 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Slots with a crop; of several with the same crop the last in table order stays."""
-    rows = _arrays(spark, path, R.INDEX, optional=True).where(F.col("crop").isNotNull())
-    return rows.withColumn("_last", F.row_number().over(Window.partitionBy("crop").orderBy(F.desc_nulls_last("rank")))).where("_last = 1").drop("_last")
+    """Slots with a crop; of several with the same crop the last in the order of the file stays."""
+    rows = _arrays(spark, path, R.INDEX, optional=True).withColumn("_at", F.monotonically_increasing_id()).where("crop is not null")
+    names = [c for c in rows.columns if c not in ("crop", "_at")]
+    last = rows.groupBy("crop").agg(F.max_by(F.struct(*names), "_at").alias("r")).select("crop", "r.*")
+    return last.select(*[c for c in rows.columns if c != "_at"])
+
+
+def _crop_files(spark: SparkSession, folder: str, start_page: int) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "page*.png").load(folder).withColumn("crop", F.element_at(F.split("path", "/"), -1))
+    return files.withColumn("page", R.page_number(F.col("crop"))).where((F.col("page") >= start_page) & ~F.col("crop").rlike("_(debug|nodes|edges)"))
 
 
 def list_crops(spark: SparkSession, folder: str, start_page: int = 0) -> DataFrame:
     """Names, pages and paths of crops; contents are not read. Renderings for debugging are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "page*.png").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("crop"))
-    return files.withColumn("page", R.page_number(F.col("crop"))).where((F.col("page") >= start_page) & ~F.col("crop").rlike("_(debug|nodes|edges)"))
+    return _crop_files(spark, folder, start_page).select("path", "crop", "page")
 
 
 def read_crops(spark: SparkSession, folder: str, start_page: int = 0) -> DataFrame:
-    """list_crops() with the bytes of each file."""
-    return list_crops(spark, folder, start_page).drop("path", "page").join(
-        spark.read.format("binaryFile").option("pathGlobFilter", "page*.png").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("crop"), "content"), "crop"
-    )
+    """Names and bytes of crops, in one scan."""
+    return _crop_files(spark, folder, start_page).select("crop", "content")
 
 
 def constants(spark: SparkSession) -> dict[str, DataFrame]:
-    """Fixed values as small tables: degrees of shapes, the census, hand-made ring labels are data and come from read_map()."""
+    """Fixed values as small tables: degrees of shapes, the census, ring labels by hand, slots known to be references."""
     shapes = [("solid_dot", 5), ("open_circle", 6), ("square", 7), ("triangle", 8)]
+    rings = [("page014_cell000.png", 6), ("page014_cell003.png", 5)]
     census = [("<=8", 7), ("9", 8), ("10", 35), ("11", 89), ("12", 334), ("13", 701), ("14", 660)]
     return {
         "shapes": spark.createDataFrame(shapes, "shape string, degree int"),
         "census": spark.createDataFrame(census, "bucket string, expected int"),
+        "ring_labels": spark.createDataFrame(rings, "crop string, ring int"),
         "xref_slots": spark.createDataFrame([(45, 3)], "figure int, position int"),
     }
 

@@ -8,12 +8,15 @@ value; their rows stream through the driver, a partition at a time, into one fil
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from ..operators import relations
 
 
 def write_rows(df: DataFrame, path: str, run: str | None = None) -> None:
@@ -22,10 +25,31 @@ def write_rows(df: DataFrame, path: str, run: str | None = None) -> None:
 
 
 def write_canonical(df: DataFrame, path: str) -> None:
-    """One JSON document an id, in the folder id=<id>."""
+    """One JSON document an id, in the file <id>.json; files of other ids stay, one of the same id is replaced. Of rows with one id the greatest text is taken.
+
+    Tasks write in a folder of their own; then the driver renames each file, so
+    a reader sees whole files only.
+    """
     fields = ["id", "vertices", "edges", "ring_size", "reducibility", "provenance"]
     body = F.to_json(F.struct(*fields, F.lit(R.SCHEMA_VERSION).alias("schema_version")), {"pretty": "true", "ignoreNullFields": "false"})
-    df.select("id", body.alias("value")).repartition("id").write.mode("overwrite").partitionBy("id").text(path)
+    spark, aside = df.sparkSession, f"{path}/_writing-{uuid.uuid4().hex}"
+    df.where("id is not null").select("id", body.alias("value")).groupBy("id").agg(F.max("value").alias("value")).write.partitionBy("id").text(aside)
+    place, to = spark._jvm.org.apache.hadoop.fs.Path(aside), spark._jvm.org.apache.hadoop.fs.Path
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listFiles(place, True)
+    while found.hasNext():
+        one = found.next().getPath()
+        if one.getName().startswith("part-"):
+            target = to(path, f"{unquote(one.getParent().getName().removeprefix('id='))}.json")
+            files.delete(target, False)
+            files.rename(one, target)
+    files.delete(place, True)
+
+
+def write_files(df: DataFrame, path: str) -> None:
+    """(crop, content): a file a row, named by crop. Rows stream through the driver, a partition at a time, since Spark's writers choose the names of files."""
+    for row in df.select("crop", "content").toLocalIterator():
+        _write_bytes(df.sparkSession, f"{path}/{row.crop}", [bytes(row.content)])
 
 
 def gated(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
@@ -34,17 +58,20 @@ def gated(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(good), df.where(~good)
 
 
-def _write_text(df: DataFrame, path: str, parts: Iterable[str]) -> None:
-    spark = df.sparkSession
+def _write_bytes(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
     try:
         for part in parts:
-            out.write(bytearray(part.encode()))
+            out.write(bytearray(part))
     finally:
         out.close()
 
 
+def _write_text(df: DataFrame, path: str, parts: Iterable[str]) -> None:
+    _write_bytes(df.sparkSession, path, (part.encode() for part in parts))
+
+
 def write_array(df: DataFrame, path: str, *order: str) -> None:
     """One JSON array, two spaces a level, in the order of the named columns."""
     rows = df.orderBy(*order).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
@@ -74,6 +101,6 @@ def write_map(df: DataFrame, path: str) -> None:
     _write_text(df, path, parts())
 
 
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Label maps (crop, ring): new values win."""
-    return old.alias("o").join(new.alias("n"), "crop", "full").select("crop", F.coalesce("n.ring", "o.ring").alias("ring"))
+def upsert(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
+    """Label maps (crop, ring): an old label stays, unless forced."""
+    return relations.merge_labels(old, new, force).select("crop", "ring")

@@ -57,7 +57,7 @@ def test_strokes():
     assert (line > 0).sum(0).max() == 1 and R.components(line)[0] == 1
     cross = np.zeros((9, 9), np.uint8)
     cross[4], cross[:, 4] = 255, 255
-    assert R.crossing_number(cross, 4, 4) == 4 and R.crossing_number(cross, 4, 0) == 1
+    assert R.crossing_numbers(cross)[4, 4] == 4 and R.crossing_numbers(cross)[4, 0] == 1 and R.crossing_numbers(cross)[0, 0] == 0
     assert R.cluster_points([(0, 0), (4, 0), (100, 0), (5, 1)], 12) == [(3, 0), (100, 0)]
     assert R.corridor(bar, (0, 10), (39, 10), 6, 6) == 1.0 and R.corridor(bar, (0, 0), (39, 0), 6, 6) == 0.0 and R.corridor(bar, (3, 3), (3, 3), 1, 1) == 0.0
     assert R.line_share(bar, (0, 10), (39, 10), 6) == 1.0 and R.line_share(bar, (0, 10), (8, 10), 6) == 0.0
@@ -90,10 +90,12 @@ def test_a_drawing_gives_its_graph():
     fine, solid = R.ink(gray), R.ink(gray, R.SOLID_BLOCK)
     nodes = R.solid_dots(fine, solid, [])
     assert len(nodes) == 3 and all(abs(n["x"] - x) <= 2 and abs(n["y"] - y) <= 2 for n, (x, y) in zip(sorted(nodes, key=lambda n: (n["x"], n["y"])), sorted(dots), strict=True))
-    edges, odd = R.trace(fine, nodes)
-    assert edges == [(0, 1), (0, 2), (1, 2)] and odd == []
-    _, odd = R.trace(fine, nodes[:2])
-    assert {d["kind"] for d in odd} <= {"junction", "loose_end"}
+    lines = R.strokes(fine)
+    found = R.traced(lines, nodes)
+    assert found["edges"].tolist() == [[0, 1], [0, 2], [1, 2]] and not len(found["junctions"]) and not len(found["ends"])
+    # Without one node its two strokes are one, and join the others a second time; with one node alone they lead away from it.
+    assert R.traced(lines, nodes[:2])["edges"].tolist() == [[0, 1]] and R.traced(lines, [])["edges"].tolist() == []
+    assert (R.traced(lines, nodes[:1])["holders"] == 0).all()
     assert R.solid_dots(fine, solid, nodes, weak=True) == []
 
 
@@ -133,14 +135,58 @@ def test_extraction_of_a_table(spark):
     # Three vertices of degree 5 in a triangle: 15 - 3 - 9 + 3 = 6.
     assert (good.page, good.node_count, [tuple(e) for e in good.edges], good.ring_size, good.euler_valid) == (14, 3, [(0, 1), (0, 2), (1, 2)], 6, True)
     assert good.validation_note == "r=6, E_att=15 (ring verified)"
-    assert got["page014_cell001.png"].failures == ["EMPTY: no nodes detected"] and got["page014_cell002.png"].failures == ["ERROR: not a PNG"] and got["odd"].page is None
+    assert got["page014_cell001.png"].failures == ["EMPTY: no node was found"] and got["page014_cell002.png"].failures == ["ERROR: not a PNG"] and got["odd"].page is None
     assert extract.extract(rows.limit(0)).count() == 0
 
 
-def test_occlusion_and_evidence():
+def test_chords_and_missing_places():
     from facetflow.operators import extract
 
     nodes = [{"x": x, "y": y, "radius": 10} for x, y in ((0, 0), (100, 0), (50, 9), (50, 10))]
-    assert extract.occluded(nodes, 0, 1, 14, 14) and not extract.occluded([nodes[k] for k in (0, 1, 3)], 0, 1, 14, 14)
-    odd = [{"kind": "loose_end", "at": (0, 0)}, {"kind": "loose_end", "at": (10, 0)}, {"kind": "loose_end", "at": (90, 0)}, {"kind": "junction", "at": (7, 7)}]
-    assert extract.evidence(odd) == [(7, 7), (5, 0)]
+    assert [0, 1] not in extract.chords(nodes).tolist() and [0, 1] in extract.chords([nodes[k] for k in (0, 1, 3)]).tolist()
+    assert extract.chords(nodes[:1]).tolist() == [] and extract.chords([]).tolist() == []
+    found = {"junctions": np.array([(7, 7)]), "ends": np.array([(0, 0), (10, 0), (90, 0)]), "holders": np.array([4, 2, 2])}
+    assert extract.missing_places(found).tolist() == [[7, 7], [5, 0]] and extract.bridged(found) == {(2, 4)}
+    none = {"junctions": np.zeros((0, 2)), "ends": np.zeros((0, 2)), "holders": np.zeros(0, int)}
+    assert len(extract.missing_places(none)) == 0 and extract.bridged(none) == set()
+
+
+def test_measures_against_brute_force():
+    rng = np.random.default_rng(2)
+    gray, mask = rng.integers(0, 256, (40, 50)).astype(np.uint8), np.where(rng.random((40, 50)) < 0.4, 255, 0).astype(np.uint8)
+    places = [(5, 6, 4.0), (25, 20, 9.5), (49, 39, 3.0), (200, 200, 2.0)]
+    x, y, r = np.array(places).T
+    for k, (cx, cy, reach) in enumerate(places):
+        inside = [(j, i) for i in range(40) for j in range(50) if (j - cx) ** 2 + (i - cy) ** 2 <= reach * reach]
+        assert np.isclose(R.shares(mask, x, y, r)[k], np.mean([mask[i, j] > 0 for j, i in inside]) if inside else 0)
+        assert np.isclose(R.brightness(gray, x, y, r)[k], np.mean([gray[i, j] for j, i in inside]) if inside else 255)
+        around = [(cx + reach * np.cos(a), cy + reach * np.sin(a)) for a in 2 * np.pi * np.arange(24) / 24]
+        assert R.rims(mask, x, y, r, 24)[k] == sum(mask[min(39, max(0, int(round(b, 9)))), min(49, max(0, int(round(a, 9))))] > 128 for a, b in around)
+    points, taken = rng.integers(0, 100, (60, 2)), rng.integers(0, 100, (5, 2))
+    kept: list = []
+    for k, p in enumerate(points):
+        if all(((p - q) ** 2).sum() >= 625 for q in [*taken, *points[kept]]):
+            kept.append(k)
+    assert R.spaced(points, taken) == kept and R.spaced(points[:0], taken) == []
+
+
+def test_pages():
+    page = np.full((900, 1200), 255, np.uint8)
+    frames = [(100, 80, 260, 240), (600, 110, 300, 200), (150, 500, 240, 260)]
+    for x, y, w, h in frames:
+        for k in range(8):
+            page[y + k : y + h - k, x + k], page[y + k : y + h - k, x + w - 1 - k] = 0, 0
+            page[y + k, x + k : x + w - k], page[y + h - 1 - k, x + k : x + w - k] = 0, 0
+    page[20:40, 20:500] = 0  # a line of text is too low
+    boxes = R.page_boxes(page)
+    assert len(boxes) == 3 and all(abs(x - 14 - a) <= 3 and abs(y - 14 - b) <= 3 and abs(w + 28 - c) <= 6 and abs(h + 28 - d) <= 6 for (a, b, c, d), (x, y, w, h) in zip(boxes, frames, strict=True))
+    crops = R.cut(page, boxes)
+    assert [c.shape for c in crops] == [(h + 20, w + 20) for _, _, w, h in boxes]
+    assert R.skew(page) == 0 and R.straightened(page) is page
+    block = np.full((600, 800), 255, np.uint8)
+    block[150:450, 100:700] = 0
+    turned = R.rotated(block, 4.0)
+    assert abs(abs(R.skew(turned)) - 4) < 0.3 and abs(R.skew(R.straightened(turned))) < 0.6 and R.skew(np.full((50, 50), 255, np.uint8)) == 0
+    hull = R.convex_hull(np.array([(0, 0), (4, 0), (4, 4), (0, 4), (2, 2), (1, 3)]))
+    assert sorted(map(tuple, hull.tolist())) == [(0, 0), (0, 4), (4, 0), (4, 4)]
+    assert (R.overlay(page, [{"x": 300, "y": 600, "radius": 9}], []) == 128).any() and R.overlay(page, [], []).tolist() == page.tolist()

@@ -22,14 +22,14 @@ def test_detection_to_canonical_and_back(spark, tmp_path):
     assert (one.id, one.ring_size, one.edges, one.provenance.extraction, one.provenance.source_document) == ("page014_cell000", 6, [[0, 1]], "cv", "Part II PDF, page 14")
     assert [v.pos for v in one.vertices] == [[1.0, 2.0], None] and (none.id, none.vertices) == ("unknown", [])
     sinks.write_canonical(rows.where("id <> 'unknown'"), str(tmp_path / "out"))
-    text = spark.read.text(str(tmp_path / "out"), wholetext=True).first().value
-    assert json.loads(text)["schema_version"] == "1.1"
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text(text)
-    (tmp_path / "in" / "b.json").write_text(json.dumps({"id": "b", "vertices": [], "edges": []}))
-    back = sources.read_canonical(spark, str(tmp_path / "in")).orderBy("file_name").collect()
-    assert back[0].vertices == one.vertices and back[0].provenance == one.provenance
-    assert (back[1].file_name, back[1].provenance.extraction, back[1].provenance.human_corrected) == ("b.json", "manual", False)
+    assert json.loads((tmp_path / "out" / "page014_cell000.json").read_text())["schema_version"] == "1.1"
+    (tmp_path / "out" / "zb.json").write_text(json.dumps({"id": "b", "vertices": [], "edges": []}))
+    sinks.write_canonical(rows.where("id = 'unknown'").withColumn("id", F.lit("odd id=é")), str(tmp_path / "out"))  # others stay
+    sinks.write_canonical(rows.where("id <> 'unknown'").withColumn("ring_size", F.lit(9)), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith((".", "_"))) == ["odd id=é.json", "page014_cell000.json", "zb.json"]
+    back = [r for r in sources.read_canonical(spark, str(tmp_path / "out")).orderBy("file_name").collect() if r.id != "odd id=é"]
+    assert back[0].vertices == one.vertices and back[0].provenance == one.provenance and back[0].ring_size == 9
+    assert (back[1].file_name, back[1].provenance.extraction, back[1].provenance.human_corrected) == ("zb.json", "manual", False)
 
 
 def test_queue_and_pointers(spark, tmp_path):
@@ -62,14 +62,15 @@ def test_maps_arrays_and_index(spark, tmp_path):
     old, new = (spark.createDataFrame(rows, "crop string, ring int") for rows in ([("a", 5), ("b", 6)], [("b", 7), ("ü", 8)]))
     path = str(tmp_path / "labels.json")
     sinks.write_map(sinks.upsert(old, new), path)
-    assert json.loads(open(path).read()) == {"a": 5, "b": 7, "ü": 8}
-    assert sorted(map(tuple, sources.read_map(spark, path).collect())) == [("a", 5), ("b", 7), ("ü", 8)]
+    assert json.loads(open(path).read()) == {"a": 5, "b": 6, "ü": 8}
+    assert sorted(map(tuple, sources.read_map(spark, path).collect())) == [("a", 5), ("b", 6), ("ü", 8)]
+    assert sorted(map(tuple, sinks.upsert(old, new, force=True).collect())) == [("a", 5), ("b", 7), ("ü", 8)]
     for rows, name in (([], "no.json"), ([("b", None), ("a", 1)], "two.json")):
         sinks.write_array(spark.createDataFrame(rows, "crop string, ring int"), str(tmp_path / name), "crop")
     assert open(tmp_path / "no.json").read() == "[]"
     assert open(tmp_path / "two.json").read() == json.dumps([{"crop": "a", "ring": 1}, {"crop": "b", "ring": None}], indent=2)
-    (tmp_path / "index.json").write_text(json.dumps([{"crop": "a", "rank": 1}, {"crop": "a", "rank": 2}, {"crop": None, "rank": 3}]))
-    assert [(r.crop, r.rank) for r in sources.read_index(spark, str(tmp_path / "index.json")).collect()] == [("a", 2)]
+    (tmp_path / "index.json").write_text(json.dumps([{"crop": "a", "rank": 2}, {"crop": "a", "rank": 1}, {"crop": None, "rank": 3}]))
+    assert [(r.crop, r.rank) for r in sources.read_index(spark, str(tmp_path / "index.json")).collect()] == [("a", 1)]
     good, bad = sinks.gated(spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, ok boolean"), F.col("ok"))
     assert [r.id for r in good.collect()] == [1] and sorted(r.id for r in bad.collect()) == [2, 3]
 
@@ -79,7 +80,7 @@ def test_crops(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     assert [tuple(r)[1:] for r in sources.list_crops(spark, str(tmp_path), 10).collect()] == [("page014_cell000.png", 14)]
     assert [bytes(r.content) for r in sources.read_crops(spark, str(tmp_path), 10).collect()] == [b"x"]
-    assert {k: v.count() for k, v in sources.constants(spark).items()} == {"shapes": 4, "census": 7, "xref_slots": 1}
+    assert {k: v.count() for k, v in sources.constants(spark).items()} == {"shapes": 4, "census": 7, "ring_labels": 2, "xref_slots": 1}
     words = spark.createDataFrame([(1, "see", 0.0, 0.0, 2.0, 4.0)], "page int, token string, x0 double, y0 double, x1 double, y1 double")
     assert tuple(sources.words(words, 2.0, (0, 1, 5, 1, 0, 0)).first())[2:] == (9.0, 2.0)
 
@@ -98,7 +99,7 @@ def check_edits(rows):
     got = {r.crop: r for r in rows}
     assert [(n["x"], n["shape"], n["degree"]) for n in json.loads(got["a"].nodes)] == [(100, "open_circle", 6), (50, "solid_dot", 5)]
     assert (json.loads(got["a"].edges), got["a"].ring, got["a"].events, got["a"].ok) == ([[0, 1]], 5, 13, False)
-    assert (got["b"].ring, got["b"].events, got["b"].failures) == (4, 7, ["EMPTY: configuration has no vertices"])
+    assert (got["b"].ring, got["b"].events, got["b"].failures) == (4, 7, ["EMPTY: there is no vertex"])
 
 
 def test_edits_as_a_batch(spark):
