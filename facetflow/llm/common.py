@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 3 << 20
 #: A key is hot if its rows are more than one in a thousand and, in large tables, more than HOT_ROWS; of hot keys there are never more than MOST_HOT_KEYS, which bounds their broadcast.
 HOT_ROWS, MOST_HOT_KEYS = 50_000, 200_000
+#: Files that a written table has at most, for each core of the session: enough for all cores, few enough for any folder.
+FILES_A_CORE = 8
 #: Bits of the filter in may_occur().
 FILTER_BITS = 22
 
@@ -59,7 +61,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation beyond it. Columns may have any names."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     plain = numbered(df)
-    plain.write.parquet(path)
+    plain.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     back = df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
     back._stash_path = path
     return back

@@ -158,7 +158,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     distinct = stash(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     keyed = distinct.select(F.explode("bands").alias("key"), "node")
     leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1")
-    members = stash(salted_join(keyed, leaders, ["key"], BANDS * distinct.count()), "members")
+    members = hold(salted_join(keyed, leaders, ["key"], BANDS * distinct.count()))
     # Of each text, the leader that it shares most bands with; and what operator 9 links.
     usual = members.where("leader <> node").groupBy("node", "leader").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
     known = distinct.where("fp is not null").groupBy("fp").agg(F.min("node").alias("node"))
@@ -176,8 +176,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     first = rooted.groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("c"))
     of_words = salted_join(rooted.select("root", "words", F.col("c").alias("copies")), first, ["root"], rooted.count()).select("words", "first", F.col("copies").alias("c"))
     result = stash(salted_join(marks.select("words", "doc_id", "mark"), of_words, ["words"], marks.count()).select("doc_id", "mark", "first"), "first")
-    release(marks, pairs, at, near, rooted)
-    unstash(distinct, members, texts, across)
+    release(marks, members, pairs, at, near, rooted)
+    unstash(distinct, texts, across)
     return result
 
 
