@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at a time, beyond one row.
 BATCH_BYTES = 3 << 20
+#: Rows in a batch between the JVM and a Python worker, at most, whatever the session says: texts may be long, and each side holds a batch or two.
+BATCH_ROWS = 1000
 #: A key is hot if its rows are more than one in a thousand and, in large tables, more than HOT_ROWS; of hot keys there are never more than MOST_HOT_KEYS, which bounds their broadcast.
 HOT_ROWS, MOST_HOT_KEYS = 50_000, 200_000
 #: Files that a written table has at most, for each core of the session: enough for all cores, few enough for any folder.
@@ -28,7 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """The same columns named c0, c1, ...: names that differ in case only, or hold dots, cannot be told apart otherwise."""
+    """The same columns named c0, c1, ...: names that differ in case only, or hold dots, cannot be told apart otherwise. Every operator begins here, so batches are bounded here."""
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
