@@ -219,7 +219,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
                 cells = m.cells(matrix(part.column("raw"))) if m else np.zeros(part.num_rows, np.int64)
                 yield pa.record_batch([part.column("n"), pa.array(cells)], names=["n", "cell"])
 
-    blocks = hold(distinct.select("n", "raw").mapInArrow(home, "n int, cell long").groupBy("n", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"))
+    blocks = stash(distinct.select("n", "raw").mapInArrow(home, "n int, cell long").groupBy("n", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "blocks")  # written, so that its size is known when it is joined
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector to its own cell, as a resident, and as a query to this one and to those that it visits of higher numbers."""
@@ -294,8 +294,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     named = salted_join(of_node.select("component", "key", "n_links", F.col("c").alias("copies")), names, ["component"], of_node.count()).select("key", "n_links", "component_id", F.col("copies").alias("c"))
     linked = salted_join(marks.where("key is not null").select("key", "vec_id"), named, ["key"], marks.count()).select("vec_id", "n_links", "component_id")
     result = stash(linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "result")
-    release(marks, blocks, of_node)
-    unstash(distinct, found)
+    release(marks, of_node)
+    unstash(distinct, blocks, found)
     return result
 
 
