@@ -3,13 +3,19 @@
 Each word, each of its character n-grams and each pair of neighbouring words is
 hashed to a row of a table of learned vectors; a document is the average of all
 of these rows, and a softmax layer on it gives the probability of each label.
-Pairs of words are hashed by the difference of the words' hashes. Table and
-layer are trained by stochastic gradient descent in numpy on the driver, on at
+Table and layer are trained by stochastic gradient descent in numpy on the driver, on at
 most `max_train_docs` labelled documents and `max_train_bytes` of their text
 (those with the least hashes of their doc_id; whole texts). Because the layer is
 linear, what a row adds to the difference of the two outputs is one number, so
 scoring needs a lookup a word and one a pair.
 
+Pairs of words go beyond plain subword vectors, and their hash is chosen: it is
+taken of the difference of the words' hashes, so a word that follows itself has
+the same row whatever the word. What that row weighs is learned, but that it
+exists is by design, as a feature for repeated words would be: with pairs hashed
+by both words in order, most junk made of repeats unseen in training is missed
+(figures in README).
+
 Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2;
 the others are held out. Texts without words get the share of label 1 among
 the training rows. Null texts count as empty; repeated rows are scored each on
@@ -47,7 +53,7 @@ def subwords(word: bytes, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def pairs(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Rows of the table for neighbouring words."""
+    """Rows of the table for neighbouring words; one row for all words that follow themselves."""
     with np.errstate(over="ignore"):
         return (mix(hashes[1:] - hashes[:-1] + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
 
