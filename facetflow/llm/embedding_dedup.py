@@ -47,7 +47,7 @@ from .common import hold, picked, release, salted_join, stash, table, unstash
 from .components import components, local_stars
 
 THRESHOLD, RECALL = 0.95, 0.999
-FIT_ROWS, PER_CELL, CENTROIDS, LENGTHS, BLOCK, SEED = 8192, 64, 256, 64, 2048, 11
+FIT_ROWS, PER_CELL, CENTROIDS, LENGTHS, BLOCK, SEED = 8192, 256, 256, 64, 2048, 11
 #: Costs are rounded, so that equal rows cost the same in every task; the bound allows for it.
 DIGITS, SLACK = 6, 1e-5
 
