@@ -38,7 +38,7 @@ from .common import hold, may_occur, numbered, picked, release, salted_join, sli
 from .components import components, local_stars
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS, BLOCK = 40, 5, 512
+BANDS, ROWS, BLOCK, FOLLOWERS = 40, 5, 512, 64
 _RANDOM = np.random.default_rng(SEED)
 _FLIP, _TIMES = _RANDOM.integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
 _TIMES |= np.uint32(1)
@@ -124,11 +124,11 @@ def _compare(texts: DataFrame) -> DataFrame:
 
 
 def _to_leaders(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of pairs(leader, node). A leader of many is repeated, so that each part compares up to BLOCK texts with it."""
+    """Links of pairs(leader, node). A leader of many is repeated, so that each part compares up to FOLLOWERS texts with it."""
     sizes = pairs.groupBy("leader").agg(F.count("*").alias("c"))
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
+    parts = F.ceil(F.col("c") / FOLLOWERS).cast("int")
     first = sizes.select(F.col("leader").alias("grp"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), F.col("leader").alias("node"))
-    many = sizes.where(F.col("c") > BLOCK).select("leader", parts.alias("parts"))
+    many = sizes.where(F.col("c") > FOLLOWERS).select("leader", parts.alias("parts"))
     others = pairs.join(many, "leader", "left").select(F.col("leader").alias("grp"), F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "parts")).cast("int").alias("part"), F.lit(1).alias("role"), "node")
     return _compare(first.unionByName(others).withColumn("cluster", F.col("node")).join(texts, "node"))
 

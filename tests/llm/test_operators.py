@@ -296,7 +296,8 @@ def test_pipeline_near_duplicates(spark, docs, monkeypatch):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
     got = dict(STAGES)["simhash_near_dedup"](spark, frame, "").collect()
     assert sorted(r["doc_id"] for r in got) == want
-    monkeypatch.setattr(near_copies, "BLOCK", 3)  # parts of leaders, and blocks of bands
+    monkeypatch.setattr(near_copies, "BLOCK", 3)  # blocks of bands
+    monkeypatch.setattr(near_copies, "FOLLOWERS", 3)  # parts of leaders
     nulls = spark.createDataFrame([(None, "x", "en", "s", 1), (None, "x", "en", "s", 1)], SCHEMA)
     got = near_copies.first_of_groups(frame.union(frame).union(nulls)).collect()
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == want and len(got) == len(want) + 2
