@@ -441,6 +441,56 @@ def test_forest_against_plain_python(spark):
     assert Q.calibrate(np.zeros(10), np.ones(10, bool)) == (float("inf"), 0.0)
 
 
+def test_forest_learns_from_all_labelled_rows(spark):
+    """All junk has greater hashes of its doc_id than the first 12,000 labelled rows."""
+    from pyspark.sql import functions as F
+
+    from facetflow.llm import quality_rules as Q
+
+    ids = [r["id"] for r in spark.range(12_600).orderBy(F.xxhash64("id"), "id").collect()]
+    junk = set(ids[-400:])
+    rng = np.random.default_rng(3)
+    text = {i: " ".join(f"w{k}" for k in rng.integers(0, 9000, rng.integers(12, 30))) + (" ### $$$ !!! ???" if i in junk else ".") for i in ids}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in junk)) for i in ids], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in Q.judge(docs, labels).where("kept").collect()}
+    assert len(kept & junk) < 0.05 * len(junk) and len(kept) >= 0.99 * (len(ids) - len(junk))
+
+
+def test_all_labelled_rows_take_part(spark):
+    """Each row of one half is in a tree, each tree has its share, and the threshold is that of plain numpy on the whole other half."""
+    from pyspark.sql import functions as F
+
+    from facetflow.llm import quality_rules as Q
+
+    for n in (1, 3, 300, Q.TREES * Q.SAMPLE + 450):
+        h = F.xxhash64("id")
+        rows = spark.range(n).select(F.col("id").alias("doc_id"), h.alias("hash"), F.pmod(h, F.lit(Q.RANGES)).cast("int").alias("range"))
+        dealt = [tuple(r) for r in Q._dealt(rows, {r["range"]: r["count"] for r in rows.groupBy("range").count().collect()}).select("tree", "doc_id").collect()]
+        assert len(dealt) == len(set(dealt)) and {i for _, i in dealt} == set(range(n))
+        size = Counter(t for t, _ in dealt)
+        assert max(size.values()) == Q._share(n) and (n > Q.TREES * Q.SAMPLE or set(size.values()) == {min(n, Q.SAMPLE)} and len(size) == Q.TREES)
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    features = {r["doc_id"]: Q.statistics(r["text"] or "") for r in docs.collect() if r["doc_id"] in quality}
+    features = {i: f for i, (c, f) in features.items() if not Q.base_failed(c[0], c[4])}
+    rows = Q._labelled(docs, labels)
+    got = rows.collect()
+    assert {r["doc_id"]: (tuple(r["features"]), r["good"]) for r in got} == {i: (f, quality[i] == 1) for i, f in features.items()}
+    assert 0.4 < sum(r["grown"] for r in got) / len(got) < 0.6
+    counts = Counter(r["range"] for r in got if r["grown"])
+    forests = Q._forests(rows.where("grown"), counts)
+    held = [r for r in got if not r["grown"]]
+    table, good = np.array([r["features"] for r in held]), np.array([r["good"] for r in held])
+    want = [Q.calibrate(f.score(table[:, [Q.FEATURES.index(c) for c in family]]), good) for f, family in zip(forests, Q.FAMILIES, strict=True)]
+    assert Q._thresholds(rows.where("not grown"), forests) == want
+    forest, use, threshold = Q.fit(docs, labels)
+    k = max(range(len(want)), key=lambda k: want[k][1])
+    assert threshold == want[k][0] and use == [Q.FEATURES.index(c) for c in Q.FAMILIES[k]]
+    assert all(all(np.array_equal(a, b) for a, b in zip(x, y, strict=True)) for x, y in zip(forest.trees, forests[k].trees, strict=True))
+
+
 def test_trained_models(spark):
     from facetflow.llm.quality_classifier import op2_quality_classifier
     from facetflow.llm.quality_rules import op10_quality_rules
